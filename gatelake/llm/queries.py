@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from gatelake.llm.op_exact import OP4_SQL, op4_exact_dedup
+from gatelake.llm.op_language import op5_language_id
 from gatelake.llm.op_license import op10_license_scan
+from gatelake.llm.op_quality import op6_quality
 
-QUERIES = {f.__name__: f for f in (op4_exact_dedup, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op4_exact_dedup, op5_language_id, op6_quality, op10_license_scan)}
 
 ORACLE_SQL = {"op4_exact_dedup": OP4_SQL}
