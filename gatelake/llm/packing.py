@@ -29,7 +29,7 @@ PARTS = 64
 GAP = 5e-4
 MAX_COLUMNS = 1500
 #: Lengths are rounded up to multiples of this many ids in the program; what rounding adds is the padding it may cost.
-UNIT = 4
+UNIT = 8
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
 _encoders: dict[str, tiktoken.Encoding] = {}
