@@ -26,8 +26,8 @@ from gatelake.llm.shingles import shingle_sets
 from gatelake.plans.components import connected_components
 
 PERMUTATIONS = 64
-#: 21 bands of 6 of the 128 values: a pair at 0.85 shares no band with probability 5e-5, one at 0.8 with 2e-3.
-BANDS, ROWS = 21, 6
+#: 25 bands of 5 of the 128 values: a pair at 0.85 shares no band with probability 4e-7, one at 0.8 with 5e-5.
+BANDS, ROWS = 25, 5
 #: Classes of a family that one task settles, and the blocks of larger ones.
 SMALL, LEFT, RIGHT = 400, 128, 1024
 

@@ -137,3 +137,17 @@ def score_documents(docs: DataFrame, model: tuple, *, id_col: str = "doc_id", te
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip((s - threshold) / spread * 4, -50, 50))))], ["doc_id", "score"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double")
+
+
+def keep_good(docs: DataFrame, model: tuple, *, text_col: str = "text", at_least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score ``at_least``, with all their columns; nothing is shuffled."""
+    mean, scale, weights, threshold, spread = model
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array([text_features(t or "") for t in batch.column(at).to_pylist()], dtype=np.float64).reshape(-1, len(FEATURES))
+            s = np.clip((x - mean) / scale, -8, 8) @ weights
+            yield batch.filter(pa.array(1 / (1 + np.exp(-np.clip((s - threshold) / spread * 4, -50, 50))) >= at_least))
+
+    return docs.mapInArrow(run, docs.schema)
