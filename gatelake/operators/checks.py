@@ -12,7 +12,7 @@ def loop_values(spec: Column) -> Column:
     """Values of a loop entry: a range (descending ones count down), a comma list, or itself."""
     t = F.trim(spec)
     lo, hi = F.split_part(t, F.lit(":"), F.lit(1)).try_cast("int"), F.split_part(t, F.lit(":"), F.lit(-1)).try_cast("int")
-    return F.when(F.contains(t, F.lit(":")), F.transform(F.sequence(lo, hi), lambda i: i.cast("string"))).when(F.contains(t, F.lit(",")), F.filter(F.transform(F.split(t, ","), F.trim), lambda s: s != "")).otherwise(F.array(t))
+    return F.when(F.contains(t, F.lit(":")), F.transform(F.sequence(lo, hi), lambda i: i.cast("string"))).when(F.contains(t, F.lit(",")), F.filter(F.transform(F.split(t, ","), lambda s: F.trim(s)), lambda s: s != "")).otherwise(F.array(t))
 
 
 def expand_loops(checks: DataFrame, keys: list[str]) -> DataFrame:
@@ -44,7 +44,7 @@ def is_literal(element: Column) -> Column:
 
 def concat_elements(spec: Column) -> Column:
     """Elements of ``{a, b, 1'b0}``, most significant first, with their positions; literals are skipped."""
-    parts = F.transform(F.split(F.regexp_replace(spec, r"^\s*\{|\}\s*$", ""), ","), F.trim)
+    parts = F.transform(F.split(F.regexp_replace(spec, r"^\s*\{|\}\s*$", ""), ","), lambda s: F.trim(s))
     return F.filter(F.transform(parts, lambda s, i: F.struct(i.alias("pos"), s.alias("name"))), lambda e: ~is_literal(e["name"]))
 
 

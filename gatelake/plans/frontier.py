@@ -102,7 +102,7 @@ def until_budget(seeds: DataFrame, edges: DataFrame, *, kind: str, limit: int, m
     """
     cost = F.lit(1) if kind == "hop" else (F.col("kind") == kind).cast("int")
     priced = keep(edges.select("src", "dst", cost.alias("cost")).groupBy("src", "dst", "cost").agg(F.count(F.lit(1)).alias("n")).drop("n"))
-    start = seeds.select("label", "node").distinct().withColumns({"spent": F.lit(0), "via": F.lit("")})
+    start = seeds.select("label", "node").distinct().withColumns({"spent": F.lit(0), "via": F.lit(None).cast(edges.schema["src"].dataType)})
 
     def step(front: DataFrame, e: DataFrame) -> DataFrame:
         moved = front.join(e, front["node"] == e["src"]).where(F.col("spent") + F.col("cost") <= limit)
