@@ -131,11 +131,11 @@ def _settle(table: pa.Table, percent: int) -> pa.Table:
 def _large_links(members: DataFrame, percent: int) -> DataFrame:
     """Links of families too large for one task. ``members`` holds node, family, shingles and may be read several times."""
     t = percent / 100
-    flat = members.select("family", "node", F.explode("shingles").alias("shingle"))
     sizes = members.groupBy("family").agg(F.count(F.lit(1)).alias("total"), F.min(F.size("shingles")).alias("smallest"))
-    seen = flat.groupBy("family", "shingle").agg(F.count(F.lit(1)).alias("df"))
+    flat = members.join(sizes, "family").select("family", "node", "total", "smallest", F.explode("shingles").alias("shingle"))
+    seen = members.select("family", F.explode("shingles").alias("shingle")).groupBy("family", "shingle").agg(F.count(F.lit(1)).alias("df"))
     # AQE may split a shingle that the whole family shares.
-    per = flat.join(seen, ["family", "shingle"]).join(sizes, "family").groupBy("family", "node").agg(
+    per = flat.join(seen, ["family", "shingle"]).groupBy("family", "node").agg(
         F.count(F.lit(1)).alias("size"), F.count_if(F.col("df") == 1).alias("own"), F.count_if(2 * F.col("df") >= F.col("total")).alias("common"), F.first("smallest").alias("smallest")
     )
     # At most size - own shingles are shared, and a partner has at least ``smallest`` of them.

@@ -88,9 +88,9 @@ def shingle_sets(texts: pa.Array, width: int):
             if a == b or not valid[i + t]:
                 yield np.zeros(0, dtype=np.uint64)
             elif b - a < width:
-                own = np.uint64(b - a)
+                own = b - a
                 for k in range(a, b):
-                    own = own * _A[15] + words[k]
+                    own = (own * int(_A[15]) + int(words[k])) % (1 << 64)
                 yield mix(np.array([own], dtype=np.uint64))
             else:
                 yield np.unique(h[a : b - width + 1])
