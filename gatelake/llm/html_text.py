@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gatelake.llm.common import shared_table
 from gatelake.llm.shingles import word_hashes
 
 #: Tokens that a repeated substring has at least; a power of two.
@@ -26,6 +27,8 @@ LENGTH = 8
 COVERED = 0.8
 #: Pages of one host sorted together. A host with more is dealt over several arrays by a hash of the page.
 PAGES = 1024
+#: Up to so many hosts above PAGES, their counts are broadcast; more are joined by a shuffle.
+LARGE_HOSTS = 100_000
 
 CONTENT, OPEN, CHROME = 0, 1, 2
 
@@ -176,7 +179,9 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     rows = rows.withColumn("host", F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1)), F.lit("")))
-    # A count for each host, joined back; a host in a third of all rows is split by the join (AQE) and then dealt out.
-    count = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
-    rows = rows.join(count, "host").withColumn("deal", F.pmod(F.xxhash64("page_id"), F.ceil(F.col("n") / PAGES)))
+    # Only hosts with more than PAGES pages are dealt out, so only their counts are joined back.
+    large = shared_table(rows.groupBy("host").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PAGES), "html_hosts")
+    large = F.broadcast(large) if large.count() <= LARGE_HOSTS else large
+    deals = F.coalesce(F.pmod(F.xxhash64("page_id"), F.ceil(F.col("n") / PAGES)), F.lit(0))
+    rows = rows.join(large, "host", "left").withColumn("deal", deals).repartition("host", "deal")
     return rows.select("host", "deal", "page_id", "url", "html").groupBy("host", "deal").applyInArrow(_host_pages, "page_id long, url string, text string")
