@@ -15,6 +15,8 @@ from gatelake.llm.common import partitions, shared_table
 
 #: Sub-ranges of one text. A text in a third of all rows puts 1/48 of the rows in one task.
 SALTS = 16
+#: Characters of a text that the range splitters see.
+HEAD = 32
 
 NORMALISERS = {
     "none": lambda t: t,
@@ -36,10 +38,12 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     best = F.min if keep == "min" else F.max
     text = NORMALISERS[normalise](F.coalesce(F.col(text_col), F.lit("")))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
-    # The range partitioning on (text, salt) already clusters the window's groups, so the window adds a sort but no exchange.
-    run = Window.partitionBy("text", "salt")
+    # Splitters are sampled on the driver, so they hold the texts' first bytes and a hash of the rest, not whole texts.
+    rows = rows.withColumns({"head": F.substring("text", 1, HEAD), "rest": F.xxhash64("text")})
+    # The range partitioning on (head, rest, salt) already clusters the window's groups, so the window adds a sort but no exchange.
+    run = Window.partitionBy("head", "rest", "text", "salt")
     first = run.orderBy(F.col("doc_id").asc_nulls_last() if keep == "min" else F.col("doc_id").desc_nulls_last())
-    runs = rows.repartitionByRange(partitions(docs.sparkSession), "text", "salt").select(
+    runs = rows.repartitionByRange(partitions(docs.sparkSession), "head", "rest", "salt").select(
         "doc_id",
         F.row_number().over(first).alias("place"),
         best("doc_id").over(run).alias("run_keep"),
