@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatelake.llm.common import held_out, shared_table
+from gatelake.llm.common import fresh, held_out, shared_table
 from gatelake.llm.exact_dedup import kept_rows
 from gatelake.llm.mixing import mix
 from gatelake.llm.near_dedup import near_duplicates
@@ -27,13 +27,14 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document for each component of near-duplicates: five words, 80 of 100."""
-    stay = near_duplicates(docs, width=5, percent=80).where("kept").select(F.col("doc_id").alias("__stay")).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(F.col("__stay")), "left_semi")
+    stay = near_duplicates(docs, width=5, percent=80).where("kept").select(F.col("doc_id").alias("stay_id")).distinct()
+    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["stay_id"]), "left_semi")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn by calibrated probabilities."""
-    return mix(docs).where("mix.selected").drop("mix")
+    own = fresh(docs, "mix")
+    return mix(docs, out=own).where(F.col(f"{own}.selected")).drop(own)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gatelake.llm.common import partitions, shared_table
+from gatelake.llm.common import fresh, partitions, shared_table
 
 #: Sub-ranges of one text. A text in a third of all rows puts 1/48 of the rows in one task.
 SALTS = 16
@@ -63,9 +63,10 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 def kept_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", normalise: str = "none", keep: str = "min") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; of rows that repeat an identifier and its text, one."""
-    stay = exact_dedup(docs, id_col=id_col, text_col=text_col, normalise=normalise, keep=keep).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
+    key, digest, place = (fresh(docs, f"__{x}") for x in ("key", "digest", "place"))
+    stay = exact_dedup(docs, id_col=id_col, text_col=text_col, normalise=normalise, keep=keep).where("kept").select(F.col("doc_id").alias("stay_id"), F.col("text_sha256").alias("stay_sha"))
     sha: Column = F.sha2(NORMALISERS[normalise](F.coalesce(F.col(text_col), F.lit(""))), 256)
-    rows = docs.withColumns({"__key": F.col(id_col), "__digest": sha})
-    rows = rows.join(stay, rows["__key"].eqNullSafe(F.col("__id")) & (rows["__digest"] == F.col("__sha")), "left_semi")
-    one = Window.partitionBy("__key", "__digest").orderBy("__key")
-    return rows.withColumn("__place", F.row_number().over(one)).where("__place = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.withColumns({key: F.col(id_col), digest: sha})
+    rows = rows.join(stay, rows[key].eqNullSafe(stay["stay_id"]) & (rows[digest] == stay["stay_sha"]), "left_semi")
+    one = Window.partitionBy(key, digest).orderBy(key)
+    return rows.withColumn(place, F.row_number().over(one)).where(F.col(place) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])

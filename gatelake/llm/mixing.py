@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gatelake.llm.common import shared_table, unit_hash
+from gatelake.llm.common import fresh, shared_table, unit_hash
 
 DIMENSIONS = ("source", "lang", "topic")
 #: A target share is in proportion to tokens to this power where no shares are given: below 1 flattens.
@@ -88,8 +88,8 @@ def _fit_table(cells: DataFrame, targets: dict[str, dict[str, float]] | None) ->
     return x
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", topic: Column | None = None, targets: dict[str, dict[str, float]] | None = None, budget: int | None = None, seed: int = 0, max_driver_cells: int = MAX_DRIVER_CELLS) -> DataFrame:
-    """All columns of ``docs`` beside ``mix``: source, lang, topic, n_tokens, weight, probability and selected of the row.
+def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", topic: Column | None = None, targets: dict[str, dict[str, float]] | None = None, budget: int | None = None, seed: int = 0, max_driver_cells: int = MAX_DRIVER_CELLS, out: str = "mix") -> DataFrame:
+    """All columns of ``docs`` beside the struct ``out``: source, lang, topic, n_tokens, weight, probability and selected of the row.
 
     ``targets`` maps a dimension to the shares of its values; a dimension without them gets tempered shares (POWERS).
     ``budget`` is the tokens to draw in expectation; without it, as many as leave no probability above 1. Null sources
@@ -98,8 +98,9 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", topi
     """
     text = F.col(f"`{text_col}`")
     info = F.struct(*[F.coalesce(F.col(d).cast("string"), F.lit("")).alias(d) for d in ("source", "lang")], (surface_topic(text) if topic is None else topic).alias("topic"), token_estimate(text).alias("n_tokens"))
-    rows = docs.withColumn("__mix", info)
-    cells = shared_table(rows.groupBy(*[F.col(f"__mix.{d}").alias(d) for d in DIMENSIONS]).agg(F.sum("__mix.n_tokens").alias("tokens")), "mix_cells")
+    own = fresh(docs, "__mix")
+    rows = docs.withColumn(own, info)
+    cells = shared_table(rows.groupBy(*[F.col(f"{own}.{d}").alias(d) for d in DIMENSIONS]).agg(F.sum(f"{own}.n_tokens").alias("tokens")), "mix_cells")
     bounded = cells.count() <= max_driver_cells
     if bounded:
         got = sorted(cells.collect())
@@ -113,11 +114,12 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", topi
     factor = F.when(F.col("tokens") > 0, (F.col("fitted") / (total["f"] or 1.0)) / (F.col("tokens") / (total["t"] or 1.0))).otherwise(0.0)
     table = table.withColumn("weight", factor)
     scale = budget / total["t"] if budget and total["t"] else 1.0 / (table.agg(F.max("weight")).head()[0] or 1.0)
-    table = table.select(*[F.col(d).alias(f"__{d}") for d in DIMENSIONS], F.col("weight").alias("__weight"), F.least(F.lit(1.0), F.col("weight") * scale).alias("__probability"))
+    names = {c: fresh(docs, f"__cell_{c}") for c in (*DIMENSIONS, "weight", "probability")}
+    table = table.withColumn("probability", F.least(F.lit(1.0), F.col("weight") * scale)).select(*[F.col(c).alias(n) for c, n in names.items()])
     # At most ``max_driver_cells`` rows are broadcast; a larger table is joined by shuffle, where AQE splits hot cells.
     table = F.broadcast(table) if bounded else table
-    on = [F.col(f"__mix.{d}") == F.col(f"__{d}") for d in DIMENSIONS]
+    on = [F.col(f"{own}.{d}") == F.col(names[d]) for d in DIMENSIONS]
     rows = rows.join(table, on[0] & on[1] & on[2])
-    drawn = unit_hash(F.lit(seed), F.col(f"`{id_col}`")) < F.col("__probability")
-    fields = [F.col(f"__mix.{c}").alias(c) for c in (*DIMENSIONS, "n_tokens")]
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], F.struct(*fields, F.col("__weight").alias("weight"), F.col("__probability").alias("probability"), drawn.alias("selected")).alias("mix"))
+    drawn = unit_hash(F.lit(seed), F.col(f"`{id_col}`")) < F.col(names["probability"])
+    fields = [F.col(f"{own}.{c}").alias(c) for c in (*DIMENSIONS, "n_tokens")]
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], F.struct(*fields, F.col(names["weight"]).alias("weight"), F.col(names["probability"]).alias("probability"), drawn.alias("selected")).alias(out))
