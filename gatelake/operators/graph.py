@@ -228,3 +228,23 @@ def electrical_pairs(components: DataFrame, checks: DataFrame, ends: DataFrame)
 def first_peers(edges: DataFrame, n: int = 64) -> DataFrame:
     """At most ``n`` peers of a node, first by name: the text phase's fan-out limit inside a module."""
     return edges.withColumn("place", F.row_number().over(Window.partitionBy("src").orderBy("dst"))).where(F.col("place") <= n).drop("place")
+
+
+def check_mode(a_kind: Column, b_kind: Column) -> Column:
+    """How a pair is checked by what its ends are: port-port, port-hierarchy or hierarchy-hierarchy."""
+    a, b = a_kind == "instance", b_kind == "instance"
+    return F.when(a & b, "hierarchy-hierarchy").when(a | b, "port-hierarchy").otherwise("port-port")
+
+
+def connect_pairs(checks: DataFrame, edges: DataFrame, *, max_hops: int = 64) -> DataFrame:
+    """check_id, mode and connected of checks with a, b, a_kind and b_kind; each mode has its own search, all checks of a mode share it.
+
+    Two instances are connected if they are the same or one is above the other.
+    """
+    moded = keep(checks.withColumn("mode", check_mode(F.col("a_kind"), F.col("b_kind"))))
+    ports = connected(moded.where("mode = 'port-port'").select("check_id", "a", "b"), edges, max_hops=max_hops).select("check_id", F.lit("port-port").alias("mode"), "connected")
+    swap = F.col("a_kind") == "instance"
+    mixed = moded.where("mode = 'port-hierarchy'").select("check_id", F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"))
+    mixed = reaches_scope(mixed, edges, max_hops=max_hops).select("check_id", F.lit("port-hierarchy").alias("mode"), "connected")
+    both = moded.where("mode = 'hierarchy-hierarchy'").select("check_id", "mode", (C.below(F.col("a"), F.col("b")) | C.below(F.col("b"), F.col("a"))).alias("connected"))
+    return ports.unionByName(mixed).unionByName(both)

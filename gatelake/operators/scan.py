@@ -190,3 +190,60 @@ def expand_array(base: F.Column, lo: F.Column, hi: F.Column, max_width: int = 64
     a, b = F.least(lo, hi), F.greatest(lo, hi)
     each = F.transform(F.sequence(a, b), lambda i: F.concat(base, F.lit("["), i.cast("string"), F.lit("]")))
     return F.when(b - a + 1 <= max_width, each).otherwise(F.array(F.concat(base, F.lit("["), hi.cast("string"), F.lit(":"), lo.cast("string"), F.lit("]"))))
+
+
+def statements(texts: DataFrame) -> DataFrame:
+    """module, idx, line, kind and text of a module body's top-level statements; ``texts`` is ``module_texts``.
+
+    Blocks, loops and cases are one statement each, whatever semicolons they hold.
+    """
+    kind = pa.schema([("module", _STR), ("idx", _INT), ("line", _INT), ("kind", _STR), ("text", _STR)])
+
+    def flat(s: tuple) -> list[verilog.Tok]:
+        out = []
+        for part in s[1:]:
+            if isinstance(part, verilog.Tok):
+                out.append(part)
+            elif isinstance(part, (list, tuple)):
+                out += flat(("", *part))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for module, line, body in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                ts = verilog.Scope._split(verilog.tokens(body, line))[1]
+                for k, s in enumerate(verilog.Parser(ts).all()):
+                    own = flat(s)
+                    rows.append({"module": module, "idx": k, "line": own[0].line if own else line, "kind": s[0] if s[0] != "simple" else own[0].text if own and own[0].text in ("assign", "wire", "reg", "logic", "genvar", "input", "output") else "simple", "text": verilog.text_of(own)})
+            yield pa.RecordBatch.from_pylist(rows, schema=kind)
+
+    return texts.select("module", "line", "body").mapInArrow(run, "module string, idx int, line int, kind string, text string")
+
+
+def blank_comments(sources: DataFrame) -> DataFrame:
+    """path and text without comments, aware of strings; block comments become blanks, so lines keep their numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([verilog.blank_comments(t or "") for t in batch.column(1).to_pylist()], _STR)], ["path", "text"])
+
+    return sources.select("path", "text").mapInArrow(run, "path string, text string")
+
+
+def connect_nodes(expr: Column) -> Column:
+    """Signals of an expression with constant selects kept (``bus[0]`` is not ``bus[1]``); literals are no signals."""
+    bare = F.regexp_replace(expr, r"\d*'[sS]?[bodhBODH][0-9a-fA-FxXzZ_?]+", "")
+    return F.array_distinct(F.regexp_extract_all(bare, F.lit(r"(?<![\w$.])[A-Za-z_][\w$]*(?:\.[A-Za-z_][\w$]*)*(?:\[\d+(?::\d+)?\])*"), F.lit(0)))
+
+
+def dependency_edges(sources: DataFrame, defines: dict[str, str] | None = None) -> DataFrame:
+    """The second reading of a file: path, module, src, dst, kind of its first module; every named actual drives the formal.
+
+    Only the first module's name of a file is kept, and any clocked or non-blocking procedure counts as ff.
+    """
+    first = scan(sources, defines, fold_constants=False).withColumn("n", F.row_number().over(Window.partitionBy("path").orderBy("line"))).where("n = 1")
+    own = first.select("path", "module", F.explode("edges").alias("e")).select("path", "module", "e.src", "e.dst", F.col("e.kind").alias("kind"))
+    maps = first.select("path", "module", F.explode("instances").alias("i")).select("path", "module", "i.inst", F.explode("i.ports").alias("m"))
+    down = maps.select("path", "module", F.explode(connect_nodes(F.col("m.expr"))).alias("src"), F.concat("inst", F.lit("."), "m.port").alias("dst"), F.lit("port").alias("kind"))
+    return own.union(down).distinct()

@@ -516,3 +516,29 @@ def q022_cone_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     seeds = star.table(spark, sf_dir, "events").where("event_id % 60 = 2").select(F.col("event_id").alias("label"), F.col("event_id").alias("node"))
     got = expand(seeds, keep(star.event_edges(spark, sf_dir).select("src", "dst")), max_hops=5)
     return got.groupBy("label").agg(F.count(F.lit(1)).alias("nodes"), F.max("hop").alias("depth"))
+
+
+@query("""
+WITH c AS (SELECT c_custkey AS check_id, c_custkey % 4 AS k, c_nationkey AS n FROM customer WHERE c_custkey <= 200)
+SELECT check_id, CASE k WHEN 0 THEN 'port-port' WHEN 1 THEN 'port-hierarchy' WHEN 2 THEN 'port-hierarchy' ELSE 'hierarchy-hierarchy' END AS mode, CASE k WHEN 0 THEN check_id % 8 = 0 WHEN 1 THEN true WHEN 2 THEN false ELSE n % 2 = 0 END AS connected FROM c
+""")
+def q108_pair_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs by what their ends are, each mode with its own search."""
+    c = star.table(spark, sf_dir, "customer").where("c_custkey <= 200").select(F.col("c_custkey").alias("check_id"), (F.col("c_custkey") % 4).alias("k"), F.col("c_nationkey").alias("n"))
+    net = F.concat(F.lit("top.u"), _s("check_id"))
+    a = F.when(F.col("k") == 3, F.lit("top.x")).otherwise(F.concat(net, F.lit(".a")))
+    b = F.when(F.col("k") == 0, F.concat(net, F.lit(".b"))).when(F.col("k") == 1, net).when(F.col("k") == 2, F.lit("top.elsewhere")).otherwise(F.when(F.col("n") % 2 == 0, "top.x.y").otherwise("top.z"))
+    kind = lambda inst: F.when(inst, "instance").otherwise("port")
+    checks_ = c.select("check_id", a.alias("a"), b.alias("b"), kind(F.col("k") == 3).alias("a_kind"), kind(F.col("k") > 0).alias("b_kind"))
+    edges = c.where("check_id % 8 = 0").select(F.concat(net, F.lit(".a")).alias("src"), F.concat(net, F.lit(".m")).alias("dst")).union(c.where("check_id % 8 = 0").select(F.concat(net, F.lit(".b")), F.concat(net, F.lit(".m"))))
+    return graph.connect_pairs(checks_, edges)
+
+
+@query("SELECT 'c' || o_orderkey AS check_id, 'n' || o_custkey AS endpoint_a, '' AS endpoint_b, CASE WHEN o_orderstatus = 'F' THEN '1' ELSE '0' END AS connected_text, '' AS mode, o_orderpriority AS note, '' AS errors, CAST(o_orderkey % 9 AS VARCHAR) AS hops, '' AS a_rtl, '' AS a_via_filelist, 'top.f -> sub.f' AS a_filelist_chain, '' AS b_rtl, '' AS b_via_filelist, '' AS b_filelist_chain, 'text' AS phase FROM orders")
+def q021_connect_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Connect report columns as text."""
+    from gatelake.sources import sinks
+
+    o = star.table(spark, sf_dir, "orders")
+    got = o.select(F.concat(F.lit("c"), _s("o_orderkey")).alias("check_id"), F.concat(F.lit("n"), _s("o_custkey")).alias("endpoint_a"), (F.col("o_orderstatus") == "F").alias("connected_text"), F.col("o_orderpriority").alias("note"), (F.col("o_orderkey") % 9).alias("hops"), F.array(F.lit("top.f"), F.lit("sub.f")).alias("a_filelist_chain"), F.lit("text").alias("phase"))
+    return sinks.report(got, sinks.TEXT_COLUMNS)

@@ -217,3 +217,56 @@ def q062_element_mirroring(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = li.select(p.alias("src"), s.alias("dst"), F.lit("port").alias("kind")).distinct()
     el = li.where("l_linenumber = 1").select(p.alias("net"), sel(4).alias("sel")).union(li.where("l_linenumber = 2").select(s, sel(3))).distinct()
     return graph.mirror_elements(e, el).distinct()
+
+
+@query(f"SELECT 'nat_' || n_nationkey AS module, CAST(2 + 4 * (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey AND {_LIVE}) AS INTEGER) AS statements, CAST((SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey AND {_LIVE}) AS INTEGER) AS assigns FROM nation")
+def q042_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top-level statements of each module; blocks and loops are one each."""
+    got = scan.statements(scan.module_texts(star.rtl(spark, sf_dir).where("path like '%nat_%'")))
+    return got.groupBy("module").agg(F.count(F.lit(1)).cast("int").alias("statements"), F.count_if(F.col("kind") == "assign").cast("int").alias("assigns"))
+
+
+@query("SELECT 'f' || p_partkey AS path, 's = \"//' || p_brand || '\"; ' || chr(10) || repeat(' ', 3 + length(p_type)) || chr(10) || '    x' AS text FROM part")
+def q028_blank_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The string-aware strip: strings stay, block comments become blanks and keep their line ends."""
+    p = star.table(spark, sf_dir, "part")
+    text = F.concat(F.lit('s = "//'), "p_brand", F.lit('"; // c\n/* '), "p_type", F.lit("\n */ x"))
+    return scan.blank_comments(p.select(F.concat(F.lit("f"), F.col("p_partkey").cast("string")).alias("path"), text.alias("text")))
+
+
+@query("SELECT p_partkey, 'a' || p_partkey || ',bus[' || p_size || '],u.q[3:0],s' AS nodes FROM part")
+def q058_connect_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signals of an expression with their selects, literals left out."""
+    k, w = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    e = F.concat(F.lit("(a"), k, F.lit(" & 8'hF0) | bus["), w, F.lit("] ? u.q[3:0] : {s, 2'b1x, bus["), w, F.lit("], 12}"))
+    return star.table(spark, sf_dir, "part").select("p_partkey", F.array_join(scan.connect_nodes(e), ",").alias("nodes"))
+
+
+@query(f"""
+SELECT 'nat_' || c_nationkey AS module, x.src, x.dst, x.kind FROM customer, LATERAL (SELECT 'w_' || c_custkey AS src, 'y_' || c_custkey AS dst, 'assign' AS kind UNION ALL SELECT 'bus[0]', 'y_' || c_custkey, 'assign' UNION ALL SELECT 'y_' || c_custkey, 'r_' || c_custkey, 'ff'
+  UNION ALL SELECT 'clk', 'u_c' || c_custkey || '.clk', 'port' UNION ALL SELECT 'bus[' || (c_custkey % 5) || ']', 'u_c' || c_custkey || '.d', 'port' UNION ALL SELECT 'w_' || c_custkey, 'u_c' || c_custkey || '.q', 'port') x WHERE {_LIVE}
+""")
+def q059_dependency_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Directed edges of each file's first module: actuals drive formals."""
+    got = scan.dependency_edges(star.rtl(spark, sf_dir).where("path like '%nat_%'"))
+    return got.where("dst not like 'g[%'").select("module", "src", "dst", "kind")
+
+
+@query("SELECT 'm' || p_partkey AS module, 'k' || p_partkey AS src, 'z' AS dst, 'assign' AS kind FROM part WHERE p_size % 2 = 0 UNION ALL SELECT 'm' || p_partkey, 'a', 'b', 'assign' FROM part")
+def q096_constant_drivers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nets tied to constants carry nothing on."""
+    k = F.col("p_partkey").cast("string")
+    tie = F.when(F.col("p_size") % 2 == 0, "").otherwise(F.concat(F.lit("assign k"), k, F.lit(" = 2'b01;")))
+    p = star.table(spark, sf_dir, "part").select(k.alias("path"), F.concat(F.lit("module m"), k, F.lit("; supply0 gnd; assign b = a; assign y = gnd; assign z = k"), k, F.lit(";"), tie, F.lit(" endmodule")).alias("text"))
+    return scan.local_edges(scan.scan(p))
+
+
+@query("SELECT p_partkey, p_size % 3 = 0 AS exact, p_size % 3 = 0 OR p_size % 3 = 1 AS any_index, p_size % 3 < 2 AND p_partkey % 10 = 4 AS by_glob FROM part")
+def q054_port_globs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Port names against exact patterns (whatever the case) and bracket globs."""
+    from gatelake.functions import patterns as P
+
+    name = F.concat(F.lit("Data"), (F.col("p_partkey") % 10).cast("string"))
+    port = F.when(F.col("p_size") % 3 == 0, F.concat(name, F.lit("[0]"))).when(F.col("p_size") % 3 == 1, F.concat(name, F.lit("["), F.col("p_size").cast("string"), F.lit("]"))).otherwise(name)
+    same = lambda: F.lower(port) == F.lower(F.concat(name, F.lit("[0]")))
+    return star.table(spark, sf_dir, "part").select("p_partkey", (P.matches_port(F.replace(port, name, F.lit("Data")), "DATA[0]") & same()).alias("exact"), P.matches_port(port, "Data?[*]").alias("any_index"), P.matches_port(port, "*4[*]").alias("by_glob"))

@@ -89,3 +89,11 @@ def q090_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits with their file and list."""
     rows = star.flat_rows(spark, sf_dir).withColumns({"file": F.concat("module", F.lit(".v")), "via_filelist": F.concat(F.lit("list_"), (F.col("depth") % 2).cast("string"), F.lit(".f"))})
     return search.with_provenance(search.search(rows, "u_n2", match_module=False).select("full_path"), rows)
+
+
+@query(_TREE + "SELECT full_path, 'hit' AS matched, module, CAST(depth AS VARCHAR) AS depth, '' AS file, '' AS via_filelist, '' AS filelist_chain, '' AS stop_reason, '' AS kind, '' AS port, '' AS port_found, '' AS port_line, '' AS port_decl, '' AS port_param_note, '' AS path_chain FROM flat_rows WHERE contains(inst_leaf, 'u_n1')")
+def q020_search_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search report columns as text."""
+    from gatelake.sources import sinks
+
+    return sinks.report(search.search(star.flat_rows(spark, sf_dir), "u_n1", match_module=False), sinks.SEARCH_COLUMNS)

@@ -266,3 +266,16 @@ def q039_ignore_stubs(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = star.table(spark, sf_dir, "lineitem").select(name("l_partkey").alias("child"))
     known = star.table(spark, sf_dir, "part").where("p_size <= 40").select(name("p_partkey").alias("module"))
     return scan.undefined_targets(edges, known, ignoring=True)
+
+
+@query("SELECT c_custkey, 'cell_' || c_nationkey AS module FROM customer")
+def q015_index_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table kept under the digest of its files and settings: built once, then read."""
+    from gatelake.sources import cache
+
+    files = star.table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("path"), F.concat(F.lit("cell_"), F.col("c_nationkey").cast("string")).alias("text"))
+    key = cache.content_key(files, {"W": 8})
+    build = lambda: files.select(F.col("path").cast("bigint").alias("c_custkey"), F.col("text").alias("module"))
+    cache.load_or_build(spark, "customers", key, build)
+    got, there = cache.load_or_build(spark, "customers", key, build)
+    return got.where(F.lit(there))
