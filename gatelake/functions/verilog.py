@@ -140,6 +140,7 @@ _TOKEN = re.compile(
     r"(?P<ws>\s+)|\\\S+|(?:\d+\s*)?'[sS]?[bBoOdDhH]\s*[0-9a-fA-FxXzZ?_]+|\d[\d_]*(?:\.\d+)?|[A-Za-z_$][\w$]*|`\w+|\"(?:\\.|[^\"\\])*\"|<<<|>>>|===|!==|<=|>=|==|!=|&&|\|\||<<|>>|\*\*|->|::|\+:|-:|."
 )
 _MODULE = re.compile(r"^[ \t]*(module|interface|program)\s+(?:automatic\s+|static\s+)?([A-Za-z_][\w$]*)", re.M)
+_BLOCK = re.compile(r"(?<![\w$`.])(module|interface|program)\s+(?:automatic\s+|static\s+)?([A-Za-z_][\w$]*)(?=\s*[#(;]|\s+import\b)")
 _ENDS = {"module": re.compile(r"\bendmodule\b"), "interface": re.compile(r"\bendinterface\b"), "program": re.compile(r"\bendprogram\b")}
 NET_WORDS = frozenset("wire reg logic tri tri0 tri1 wand wor supply0 supply1 integer genvar bit byte int shortint longint real time var uwire".split())
 PORT_WORDS = frozenset(("input", "output", "inout", "ref"))
@@ -176,9 +177,9 @@ class Module:
 def modules(text: str) -> list[Module]:
     """Modules, interfaces and programs of preprocessed text; one that never ends runs to the next or the end."""
     out, at = [], 0
-    while m := _MODULE.search(text, at):
+    while m := _BLOCK.search(text, at):
         end = _ENDS[m[1]].search(text, m.end())
-        nxt = _MODULE.search(text, m.end())
+        nxt = _BLOCK.search(text, m.end())
         stop = end.end() if end and not (nxt and nxt.start() < end.start() and m[1] != "interface") else nxt.start() if nxt else len(text)
         body = text[m.start() : end.start() if end and end.start() < stop else stop]
         out.append(Module(m[2], m[1], body, text.count("\n", 0, m.start()) + 1))

@@ -169,20 +169,66 @@ def waypoint_fanout(sources: DataFrame, peers: DataFrame, edges: DataFrame, wayp
     return got.select("label", "node", "hop", "qualified", F.col("ended").alias("is_terminator"))
 
 
-def meet(a: DataFrame, b: DataFrame, edges: DataFrame, *, max_hops: int = 16, allow_base: bool = True) -> DataFrame:
+def _base(c: Column) -> Column:
+    return F.regexp_replace(c, r"\[[^\]]*\]$", "")
+
+
+def _select(c: Column) -> Column:
+    return F.regexp_extract(c, r"(\[[^\]]*\])$", 1)
+
+
+def _pinned(front: DataFrame, edges: DataFrame) -> DataFrame:
+    """A step that remembers which element a whole net stands for: no way leads from one element over the whole to another.
+
+    Bookkeeping edges between a net and its elements have kind array_el; other edges between them pass where no pin says otherwise.
+    """
+    moved = front.join(edges, front["node"] == edges["src"])
+    a, b, kind = F.col("node"), F.col("dst"), F.col("kind")
+    same, element = _base(a) == _base(b), kind == "array_el"
+    pin = F.try_element_at("pins", _base(a))
+    up = same & (_select(a) != "") & (_select(b) == "")
+    down = same & (_select(a) == "") & (_select(b) != "")
+    across = same & (_select(a) != "") & (_select(b) != "") & (_select(a) != _select(b))
+    put = lambda sel: F.map_concat(F.map_filter("pins", lambda k, _: k != _base(a)), F.create_map(_base(a), sel))
+    pins = F.when(up, put(_select(a))).when(down & element & pin.isNull(), put(_select(b))).otherwise(F.col("pins"))
+    blocked = element & (across | (down & pin.isNotNull() & (pin != _select(b))))
+    return moved.where(~F.coalesce(blocked, F.lit(False))).select("label", b.alias("node"), pins.alias("pins"), F.to_json(pins).alias("pins_key"))
+
+
+def meet(a: DataFrame, b: DataFrame, edges: DataFrame, *, max_hops: int = 16, allow_base: bool = True, elements: bool = False) -> DataFrame:
     """Pairs of seed groups that meet: src, dst, meet (first by hops, then name), hops and connectivity_level.
 
-    ``a`` and ``b`` have path, node (the seed's whole net) and sel (null: all of it). Labels are isolated by seed; the
-    graph is walked undirected from both sides, ``max_hops`` in all.
+    ``a`` and ``b`` have path, node (the seed's net) and sel (null: all of it). Labels are isolated by seed; the graph is
+    walked undirected from both sides, ``max_hops`` in all. With ``elements``, ``edges`` has kind, a whole seed also
+    starts from its elements, an element seed from its whole net, and element pins hold.
     """
-    graph = keep(both_ways(edges.select("src", "dst")))
+    if elements:
+        graph = keep(both_ways(edges.select("src", "dst", "kind")))
+        whole = graph.select(F.col("src").alias("element")).distinct().where(_select(F.col("element")) != "").withColumn("node", _base(F.col("element")))
+        none = F.create_map().cast("map<string,string>")
+
+        def seeded(side: DataFrame) -> DataFrame:
+            own = side.select(F.col("path").alias("label"), "node").distinct()
+            pinned = F.when(_select(F.col("node")) != "", F.create_map(_base(F.col("node")), _select(F.col("node")))).otherwise(none)
+            every = own.select("label", "node", pinned.alias("pins")).union(own.where(_select(F.col("node")) != "").select("label", _base(F.col("node")), pinned)).union(own.join(whole, "node").select("label", "element", none))
+            return every.withColumn("pins_key", F.to_json("pins"))
+
+        walk = lambda side, hops: expand(seeded(side), graph, step=_pinned, order=("pins_key",), max_hops=hops)
+    else:
+        graph = keep(both_ways(edges.select("src", "dst")))
+        walk = lambda side, hops: expand(side.select(F.col("path").alias("label"), "node").distinct(), graph, max_hops=hops)
     half = (max_hops + 1) // 2
-    left = expand(a.select(F.col("path").alias("label"), "node").distinct(), graph, max_hops=half)
-    right = expand(b.select(F.col("path").alias("label"), "node").distinct(), graph, max_hops=max_hops - half)
-    pairs = left.select(F.col("label").alias("src"), "node", F.col("hop").alias("h1")).join(right.select(F.col("label").alias("dst"), "node", F.col("hop").alias("h2")), "node")
+    left, right = walk(a, half), walk(b, max_hops - half)
+    pin = F.try_element_at("pins", _base(F.col("node"))) if elements else F.lit(None).cast("string")
+    pairs = left.select(F.col("label").alias("src"), "node", F.col("hop").alias("h1"), pin.alias("p1")).join(right.select(F.col("label").alias("dst"), "node", F.col("hop").alias("h2"), pin.alias("p2")), "node")
+    pairs = pairs.where("p1 is null or p2 is null or p1 = p2")  # a whole net that stands for two elements is no meeting
     best = pairs.groupBy("src", "dst").agg(F.min(F.struct((F.col("h1") + F.col("h2")).alias("hops"), F.col("node").alias("meet"))).alias("m"))
-    sel = lambda df, n: df.select(F.col("path").alias(n), F.col("sel").alias(f"{n}_sel")).distinct()
+    sel = lambda df, n: df.select(F.col("path").alias(n), F.col("node").alias(f"{n}_node"), F.col("sel").alias(f"{n}_sel")).distinct()
     got = best.join(sel(a, "src"), "src").join(sel(b, "dst"), "dst")
+    if elements:  # two different literal selects pair only over a direct edge
+        direct = graph.where("kind <> 'array_el'").select(F.col("src").alias("src_node"), F.col("dst").alias("dst_node"), F.lit(True).alias("direct")).distinct()
+        differ = C.bit_range(F.col("src_sel")) != C.bit_range(F.col("dst_sel"))
+        got = got.join(direct, ["src_node", "dst_node"], "left").where(~F.coalesce(differ, F.lit(False)) | F.coalesce("direct", F.lit(False)))
     level = C.slice_level(F.col("src_sel"), F.col("dst_sel"), allow_base=allow_base)
     return got.select("src", "dst", "m.meet", "m.hops", level.alias("connectivity_level")).where("connectivity_level is not null")
 

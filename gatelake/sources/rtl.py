@@ -13,12 +13,12 @@ PATTERN = "*.{v,sv,vh,svh}"
 
 def read_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """path and text, a row for each file; invalid UTF-8 is replaced."""
-    return spark.read.text(list(paths), wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return spark.read.text(list(paths), wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.make_valid_utf8("value").alias("text"))
 
 
 def read_directory(spark: SparkSession, root: str, *, recursive: bool = True, pattern: str = PATTERN) -> DataFrame:
     got = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", pattern).load(root)
-    return got.select("path", F.decode("content", "UTF-8").alias("text"))
+    return got.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
 def digests(files: DataFrame) -> DataFrame:
