@@ -11,20 +11,27 @@ from pyspark.sql import functions as F
 def connected_components(edges: DataFrame, keep: Callable[[DataFrame], DataFrame], *, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """``node`` and ``component`` (the smallest node reachable) for each end of ``edges``; direction and repeats do not matter.
 
-    Each round takes the smallest label among a node's neighbours, then the label of its label, so rounds grow with the
-    logarithm of the longest path. ``keep`` materialises a DataFrame and cuts its lineage.
+    Each round points every node at its smallest neighbour, follows the pointers twice, and contracts the edges to what
+    they lead to. Contracted edges get fewer from round to round, so the first round is most of the work, and rounds grow
+    with the logarithm of the longest path. The smallest node of a component always points at itself and is what is left.
+    ``keep`` materialises a DataFrame and cuts its lineage.
     """
-    both = edges.select(F.col(a).alias("node"), F.col(b).alias("peer")).where("node is not null and peer is not null and node <> peer")
-    loops = edges.select(F.explode(F.array(a, b)).alias("node")).where("node is not null").distinct()
-    both = keep(both.union(both.select("peer", "node")).distinct())
-    labels = keep(loops.join(both.groupBy("node").agg(F.min("peer").alias("least")), "node", "left").select("node", F.least("node", F.coalesce("least", "node")).alias("component")))
+    x, y = F.least(a, b), F.greatest(a, b)
+    ends = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(x.alias("x"), y.alias("y")).distinct()
+    ends = keep(ends)
+    labels = keep(ends.select(F.explode(F.array("x", "y")).alias("node")).distinct().withColumn("component", F.col("node")))
+    live = ends.where("x <> y")
     for _ in range(max_rounds):
-        near = both.join(labels.withColumnRenamed("node", "peer"), "peer").groupBy("node").agg(F.min("component").alias("near"))
-        step = labels.join(near, "node", "left").select("node", F.least("component", F.coalesce("near", "component")).alias("label"), F.col("component").alias("old"))
-        jump = labels.select(F.col("node").alias("label"), F.col("component").alias("further"))
-        step = keep(step.join(jump, "label", "left").select("node", F.least("label", F.coalesce("further", "label")).alias("component"), "old"))
-        moved = step.where("component <> old").limit(1).count()
-        labels = step.select("node", "component")
-        if not moved:
+        if live.isEmpty():
             return labels
+        # The larger end points at the smaller; a node that is the smaller end of all its edges points at itself.
+        up = live.groupBy("y").agg(F.min("x").alias("to")).withColumnRenamed("y", "node")
+        up = keep(up)
+        for _ in range(2):
+            over = up.select(F.col("node").alias("to"), F.col("to").alias("further"))
+            up = keep(up.join(over, "to", "left").select("node", F.coalesce("further", "to").alias("to")))
+        left = live.join(up.select(F.col("node").alias("x"), F.col("to").alias("p")), "x", "left").select(F.coalesce("p", "x").alias("x"), "y")
+        both = left.join(up.select(F.col("node").alias("y"), F.col("to").alias("q")), "y", "left").select("x", F.coalesce("q", "y").alias("y"))
+        live = keep(both.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
+        labels = keep(labels.join(up.select(F.col("node").alias("component"), "to"), "component", "left").select("node", F.coalesce("to", "component").alias("component")))
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
