@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -74,20 +76,27 @@ def below(path: Column, root: Column) -> Column:
     return (root == "") | (path == root) | path.startswith(F.concat(root, F.lit(".")))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
+
+
 def bit_range(select: Column) -> Column:
     """hi and lo (inclusive) of ``[n]``, ``[a:b]``, ``n`` or ``a:b``; null for anything else."""
     inner = F.regexp_extract(select, r"^\s*\[?\s*(-?\d+(?:\s*:\s*-?\d+)?)\s*\]?\s*$", 1)
-    hi, lo = F.split_part(inner, F.lit(":"), F.lit(1)), F.split_part(inner, F.lit(":"), F.lit(-1))
-    n = lambda s: F.trim(s).try_cast("int")
-    return F.when(inner != "", F.struct(F.greatest(n(hi), n(lo)).alias("hi"), F.least(n(hi), n(lo)).alias("lo")))
+    number = lambda s: F.trim(s).try_cast("int")
+    ends = let(inner, lambda t: F.when(t != "", F.transform(F.split(t, ":"), lambda s: number(s))))
+    return let(ends, lambda e: F.when(e.isNotNull(), F.struct(F.array_max(e).alias("hi"), F.array_min(e).alias("lo"))))
 
 
 def slice_level(a: Column, b: Column, *, allow_base: bool = True) -> Column:
     """Level at which two selects (null: the whole net) may pair: slice_identity, base, select_approx; null if they may not."""
-    ra, rb = bit_range(a), bit_range(b)
     base = F.lit("base") if allow_base else F.lit(None).cast("string")
-    overlap = (ra["lo"] <= rb["hi"]) & (rb["lo"] <= ra["hi"])
-    return (
-        F.when(a.isNull() & b.isNull(), "base").when(a.isNull() | b.isNull(), base).when(ra.isNull() | rb.isNull(), "select_approx")
-        .when(ra == rb, "slice_identity").when(overlap, "base").otherwise(base)
-    )
+
+    def level(r: Column) -> Column:
+        x, y = r["x"], r["y"]
+        overlap = (x["lo"] <= y["hi"]) & (y["lo"] <= x["hi"])
+        return F.when(x.isNull() | y.isNull(), "select_approx").when(x == y, "slice_identity").when(overlap, "base").otherwise(base)
+
+    ranges = let(F.struct(bit_range(a).alias("x"), bit_range(b).alias("y")), level)
+    return F.when(a.isNull() & b.isNull(), "base").when(a.isNull() | b.isNull(), base).otherwise(ranges)

@@ -23,6 +23,24 @@ def _quoted(s: str) -> str:
     return re.sub(r"([\\.^$|?*+(){}\[\]&~#-])", r"\\\1", s)
 
 
+def _set_regex(inner: str, any_char: str) -> str:
+    """A bracket set; ranges that run backwards hold nothing."""
+    negated, inner = inner.startswith("!"), inner[1:] if inner.startswith("!") else inner
+    safe = lambda c: re.sub(r"([\\\[\]^&-])", r"\\\1", c)
+    out, i = "", 0
+    while i < len(inner):
+        if i + 2 < len(inner) and inner[i + 1] == "-":
+            if inner[i] <= inner[i + 2]:
+                out += f"{safe(inner[i])}-{safe(inner[i + 2])}"
+            i += 3
+        else:
+            out += safe(inner[i])
+            i += 1
+    if not out:
+        return any_char if negated else "(?!)"
+    return f"[{'^' if negated else ''}{out}]"
+
+
 def glob_regex(pattern: str, any_char: str = "[\\s\\S]") -> str:
     """A shell glob as a regex: * ? [set] [!set]; an unclosed bracket stands for itself."""
     out, i = "", 0
@@ -34,13 +52,13 @@ def glob_regex(pattern: str, any_char: str = "[\\s\\S]") -> str:
         elif c == "?":
             out += any_char
         elif c == "[":
-            j = pattern.find("]", i + 1 if pattern[i : i + 1] != "!" else i + 2)
+            j = i + (pattern[i : i + 1] == "!")
+            j = pattern.find("]", j + (pattern[j : j + 1] == "]"))
             if j < 0:
                 out += r"\["
             else:
-                inner, i = pattern[i:j], j + 1
-                negated, inner = inner.startswith("!"), inner[1:] if inner.startswith("!") else inner
-                out += "[" + ("^" if negated else "") + re.sub(r"([\\\[\]^&])", r"\\\1", inner) + "]"
+                out += _set_regex(pattern[i:j], any_char)
+                i = j + 1
         else:
             out += _quoted(c)
     return out

@@ -127,4 +127,6 @@ def rtl(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("module cell_"), "s", F.lit(" #(parameter K = 1) (input clk, input d, output reg q);\n  always @(posedge clk) q <= d;\nendmodule\n")).alias("text"), F.lit(100).alias("pos"),
     )
     leaf = spark.range(1).select(F.lit("rtl/leaf.v").alias("path"), F.lit("module leaf #(parameter ID = 0) (input a, output b);\n  assign b = a;\nendmodule\n").alias("text"), F.lit(99).alias("pos"))
-    return tops.union(regions.select("path", "text", F.col("pos").cast("int"))).union(nations.select("path", "text", F.col("pos").cast("int"))).union(cells).union(leaf)
+    every = tops.union(regions.select("path", "text", F.col("pos").cast("int"))).union(nations.select("path", "text", F.col("pos").cast("int"))).union(cells).union(leaf)
+    # Rendering gathers a nation's customers in one row; the rows are dealt out so that reading them is not one task.
+    return every.repartition(spark.sparkContext.defaultParallelism, "path")

@@ -16,11 +16,16 @@ from gatelake.sources import config, filelist, rtl, sinks
 from gatelake.streaming import ingest
 
 
-@given(st.text(alphabet="ab*?[]!-.", max_size=8), st.text(alphabet="ab.-", max_size=8))
+@given(st.text(alphabet="abc*?[]!-.^\\&", max_size=8), st.text(alphabet="abc.-[]^\\&!", max_size=6))
 def test_globs_like_fnmatch(pattern, text):
-    got = re.fullmatch(P.glob_regex(pattern).replace("[\\s\\S]", "(?s:.)"), text) is not None if "--" not in pattern and "[-" not in pattern and "-]" not in pattern else None
-    if got is not None and not re.search(r"\[[^\]]*-[^\]]*\]", pattern) and "[!]" not in pattern:
-        assert got == fnmatch.fnmatchcase(text, pattern)
+    # Sets with a hyphen at an end or beside a range are read in more than one way.
+    if not re.search(r"\[[^\]]*--|-\]|\[!?\]?-|-.-", pattern):
+        assert (re.fullmatch(P.glob_regex(pattern), text) is not None) == fnmatch.fnmatchcase(text, pattern)
+
+
+def test_backward_ranges_hold_nothing(spark):
+    assert not spark.range(1).select(P.matches_name(F.lit("b"), "[c-a]").alias("v")).head()[0]
+    assert spark.range(1).select(P.matches_name(F.lit("b"), "[!c-a]").alias("v")).head()[0]
 
 
 def value(spark, column):
