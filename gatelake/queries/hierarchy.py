@@ -62,10 +62,11 @@ def q065_top_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.top_modules(edges.select("module").union(customers).union(spare), edges)
 
 
-@query(_TREE + "SELECT full_path, depth FROM flat_rows f WHERE EXISTS (SELECT 1 FROM flat_rows g WHERE g.module IN ('cus_1', 'cus_5', 'cus_9', 'cus_100') AND (g.full_path = f.full_path OR starts_with(g.full_path, f.full_path || '.')))")
+@query(_TREE + "SELECT full_path, depth FROM flat_rows f WHERE EXISTS (SELECT 1 FROM flat_rows g WHERE g.module IN (SELECT 'cus_' || c_custkey FROM customer WHERE c_acctbal > 5000) AND (g.full_path = f.full_path OR starts_with(g.full_path, f.full_path || '.')))")
 def q066_scoped_elaboration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Only what leads to some endpoints is opened: a semi join inside the loop."""
-    ends = star.flat_rows(spark, sf_dir).where("module in ('cus_1', 'cus_5', 'cus_9', 'cus_100')").select(F.concat("full_path", F.lit("[3:0]")).alias("path"))
+    """Only what leads to the endpoints is opened: a semi join inside the loop."""
+    rich = star.table(spark, sf_dir, "customer").where("c_acctbal > 5000").select(F.concat(F.lit("cus_"), _s("c_custkey")).alias("module"))
+    ends = star.flat_rows(spark, sf_dir).join(rich, "module", "left_semi").select(F.concat("full_path", F.lit("[3:0]")).alias("path"))
     return elaborate(_edges(spark, sf_dir), _top(spark), scope=keep(hierarchy.scope_paths(ends))).select("full_path", "depth")
 
 
