@@ -3,9 +3,9 @@
 Each page is parsed into text blocks with a zone: content (inside an article or main element), chrome (menus, headers,
 footers, sidebars, adverts, forms and the like) or open (neither). The token streams of a host's pages are
 concatenated, the suffixes are sorted by their first ``LENGTH`` tokens (prefix doubling), and equal neighbours from
-distinct pages cover boilerplate. Covered open blocks go; a content block goes where what covers it is repeated outside
-the content of distinct pages (an article that two pages carry is no boilerplate); chrome goes by its markup, which is
-the check that follows the array. Without content on a page its uncovered open blocks stay.
+distinct pages cover boilerplate. Covered open blocks go and unique ones stay; where a page marks its content up, the
+markup is the check that follows the array: content stays whole, since articles share lines with other articles and
+with chrome, and everything else goes.
 """
 
 from __future__ import annotations
@@ -114,7 +114,7 @@ def blocks(page: str) -> list[tuple[str, int]]:
 
 
 def covered_share(texts: list[str], zones: np.ndarray, pages: np.ndarray) -> np.ndarray:
-    """Share of each block's tokens covered by repeats of LENGTH tokens in distinct pages, by the block's zone's rule."""
+    """Share of each block's tokens covered by repeats of LENGTH tokens in distinct pages; content counts as evidence and is never covered."""
     raw = [t.encode("utf-8", "replace") for t in texts]
     bounds = np.concatenate(([0], np.cumsum([len(r) for r in raw]))).astype(np.int64)
     words, first = word_hashes(np.frombuffer(b"".join(raw), dtype=np.uint8), bounds)
@@ -147,8 +147,7 @@ def covered_share(texts: list[str], zones: np.ndarray, pages: np.ndarray) -> np.
         np.add.at(edge, np.flatnonzero(hit) + LENGTH, -1)
         return np.cumsum(edge[:n]) > 0
 
-    anywhere, around = cover(whole & repeated(whole)[rank]), cover(whole & repeated(whole & outside)[rank])
-    taken = np.where(outside, anywhere, around)
+    taken = cover(whole & repeated(whole)[rank]) & outside
     sums = np.concatenate(([0], np.cumsum(taken)))
     return (sums[first[1:]] - sums[first[:-1]]) / np.maximum(np.diff(first), 1)
 
