@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gatelake.llm.common import fresh, held_out, shared_table
 from gatelake.llm.exact_dedup import kept_rows
-from gatelake.llm.mixing import mix
+from gatelake.llm.mixing import SHARE, mix
 from gatelake.llm.near_dedup import near_duplicates
 from gatelake.llm.op_packing import vocabulary
 from gatelake.llm.packing import pack_documents
@@ -32,9 +32,9 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn by calibrated probabilities."""
+    """Documents drawn by calibrated probabilities, SHARE of all tokens."""
     own = fresh(docs, "mix")
-    return mix(docs, out=own).where(F.col(f"{own}.selected")).drop(own)
+    return mix(docs, share=SHARE, out=own).where(F.col(f"{own}.selected")).drop(own)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """Mixing by iterative proportional fitting.
 
 Token weights of the cells (source, language, topic) are raked until their marginals meet the targets. The fitted share
-over the present share is a cell's factor; a document is drawn with a probability in proportion to it, by a hash of its
-identifier.
+over the present share is a cell's factor; a document is drawn with a probability in proportion to it, at most 1, by a
+hash of its identifier. The scale is solved for the tokens to draw, so a cell too small for its share is kept whole and
+the others make up for it.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ POWERS = {"source": 0.5, "lang": 0.7, "topic": 1.0}
 ROUNDS, TOLERANCE = 50, 1e-9
 #: Cells that the driver may fit; more are fitted as a table.
 MAX_DRIVER_CELLS = 50_000
+#: Share of the tokens to draw where no budget is given.
+SHARE = 0.7
 
 
 def token_estimate(text: Column) -> Column:
@@ -88,12 +91,32 @@ def _fit_table(cells: DataFrame, targets: dict[str, dict[str, float]] | None) ->
     return x
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", topic: Column | None = None, targets: dict[str, dict[str, float]] | None = None, budget: int | None = None, seed: int = 0, max_driver_cells: int = MAX_DRIVER_CELLS, out: str = "mix") -> DataFrame:
+def scale_for(table: DataFrame, wanted: float) -> float:
+    """The factor on ``weight`` whose probabilities, at most 1, draw ``wanted`` tokens in expectation.
+
+    Newton steps from below on a concave, piecewise linear function; each step takes cells to 1 until no more reach it.
+    Where all cells with weight are whole before that, the factor takes them all to 1.
+    """
+    some, least = table.where("weight > 0 and tokens > 0").agg(F.sum("tokens"), F.min("weight")).head()
+    if not some or wanted <= 0:
+        return 0.0
+    if wanted >= some:
+        return 1.0 / least
+    scale, whole = 0.0, -1
+    while True:
+        full = F.col("weight") * scale >= 1.0
+        n, mass, rest = table.agg(F.count(F.when(full, 1)), F.sum(F.when(full, F.col("tokens")).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(F.col("tokens") * F.col("weight")))).head()
+        if n <= whole or not rest:
+            return scale
+        scale, whole = max(scale, (wanted - mass) / rest), n
+
+
+def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", topic: Column | None = None, targets: dict[str, dict[str, float]] | None = None, budget: int | None = None, share: float = SHARE, seed: int = 0, max_driver_cells: int = MAX_DRIVER_CELLS, out: str = "mix") -> DataFrame:
     """All columns of ``docs`` beside the struct ``out``: source, lang, topic, n_tokens, weight, probability and selected of the row.
 
     ``targets`` maps a dimension to the shares of its values; a dimension without them gets tempered shares (POWERS).
-    ``budget`` is the tokens to draw in expectation; without it, as many as leave no probability above 1. Null sources
-    and languages count as empty ones. Rows that repeat an identifier are drawn together; an empty table gives an empty
+    ``budget`` is the tokens to draw in expectation; without it, ``share`` of all tokens. Cells whose probability would
+    be above 1 are kept whole, so where they are many the drawn marginals fall short of the targets. Null sources and languages count as empty ones. Rows that repeat an identifier are drawn together; an empty table gives an empty
     result; a text without tokens has its cell's probability.
     """
     text = F.col(f"`{text_col}`")
@@ -113,7 +136,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", topi
     total = table.agg(F.sum("tokens").alias("t"), F.sum("fitted").alias("f")).head()
     factor = F.when(F.col("tokens") > 0, (F.col("fitted") / (total["f"] or 1.0)) / (F.col("tokens") / (total["t"] or 1.0))).otherwise(0.0)
     table = table.withColumn("weight", factor)
-    scale = budget / total["t"] if budget and total["t"] else 1.0 / (table.agg(F.max("weight")).head()[0] or 1.0)
+    scale = scale_for(table, float(budget) if budget is not None else share * (total["t"] or 0.0))
     names = {c: fresh(docs, f"__cell_{c}") for c in (*DIMENSIONS, "weight", "probability")}
     table = table.withColumn("probability", F.least(F.lit(1.0), F.col("weight") * scale)).select(*[F.col(c).alias(n) for c, n in names.items()])
     # At most ``max_driver_cells`` rows are broadcast; a larger table is joined by shuffle, where AQE splits hot cells.

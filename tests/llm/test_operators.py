@@ -309,6 +309,26 @@ def test_mixing_as_a_table_gives_the_same(spark):
         assert a[i]["weight"] == pytest.approx(b[i]["weight"], rel=1e-6) and a[i]["probability"] == pytest.approx(b[i]["probability"], rel=1e-6)
 
 
+@pytest.mark.parametrize("source, lang, cells", [("tiny", "en", 50_000), (None, "en", 50_000), (None, "en", 0), ("s0", "zz", 50_000)])
+def test_mixing_tiny_cell_is_whole_and_shrinks_no_other(spark, monkeypatch, source, lang, cells):
+    monkeypatch.setattr(mixing, "ROUNDS", 4)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "source", "lang")
+    extra = spark.createDataFrame([(-1, "word " * 40, source, lang)], docs.schema)
+    got = {r["doc_id"]: r["mix"] for r in mixing.mix(docs.union(extra), max_driver_cells=cells).collect()}
+    total = sum(m["n_tokens"] for m in got.values())
+    assert got[-1]["probability"] == 1.0 and got[-1]["selected"]
+    assert sum(m["n_tokens"] * m["probability"] for m in got.values()) == pytest.approx(mixing.SHARE * total)
+    assert max(m["probability"] for m in got.values()) <= 1.0
+
+
+def test_mixing_meets_its_budget(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    total = sum(r["mix"]["n_tokens"] for r in mixing.mix(docs).collect())
+    for budget, want in ((total // 4, total // 4), (total * 9 // 10, total * 9 // 10), (2 * total, total), (0, 0)):
+        got = [r["mix"] for r in mixing.mix(docs, budget=budget).collect()]
+        assert sum(m["n_tokens"] * m["probability"] for m in got) == pytest.approx(want)
+
+
 def test_mixing_awkward_rows(docs, none):
     got = mixing.mix(docs, out="own")
     assert got.columns == [*docs.columns, "own"] and got.count() == len(ROWS)
