@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,8 @@ from gatelake.llm.common import shared_table
 #: Pre-tokenisation pattern of the vocabulary; a fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SEPARATOR = 0
+#: The added token of byte_bpe_50k.json, after its ranks; matched in any text, as its tokeniser does by default.
+MARKER = "<|endoftext|>"
 #: Ranks of one length are counted in so many parts, so that no task orders all pieces of a frequent length.
 PARTS = 64
 #: The simplex method stops within this share of the lower bound, or after so many columns.
@@ -39,7 +42,7 @@ def encoder(ranks: bytes) -> tiktoken.Encoding:
     key = hashlib.md5(ranks).hexdigest()
     if key not in _encoders:
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
-        _encoders[key] = tiktoken.Encoding(f"ranks-{key}", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
+        _encoders[key] = tiktoken.Encoding(f"ranks-{key}", pat_str=PATTERN, mergeable_ranks=table, special_tokens={MARKER: len(table)})
     return _encoders[key]
 
 
@@ -53,7 +56,7 @@ def tokenize_pieces(docs: DataFrame, vocabulary: str, *, size: int = 1024, id_co
         shared = docs.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary's size, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(shared.value).encode_ordinary
+        encode = partial(encoder(shared.value).encode, allowed_special={MARKER})
         for batch in batches:
             for first in range(0, batch.num_rows, 512):
                 ids, starts, lengths, totals, blobs = [], [], [], [], []

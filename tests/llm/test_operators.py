@@ -158,6 +158,18 @@ def test_tokens_are_those_of_the_json_vocabulary(docs):
     assert [enc.encode_ordinary(x) for x in texts] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_pieces_hold_the_ids_of_the_default_tokenizer(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|> x", "é<|endoftext|>\n\n  z", "<|endoftext|", "<|ENDOFTEXT|>", "plain", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: np.frombuffer(r["ids"], dtype="<u4").tolist() for r in packing.tokenize_pieces(df, vocabulary()).collect()}
+    assert [got[k] for k in range(len(texts))] == [[*e.ids, packing.SEPARATOR] for e in t.encode_batch(texts, add_special_tokens=False)]
+    assert got[0][:-1] == [64, 220, 50256, 275]
+
+
 def check_packing(packed, size=1024):
     at = defaultdict(list)
     whole = defaultdict(list)
