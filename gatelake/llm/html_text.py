@@ -1,17 +1,20 @@
-"""Main text of web pages: a suffix array for each host finds what its pages repeat.
+"""Main text of web pages: what a host's pages repeat is found by a suffix array, or by joins on a large host.
 
 Each page is parsed into text blocks with a zone: content (inside an article or main element), chrome (menus, headers,
 footers, sidebars, adverts, forms and the like) or open (neither). The token streams of a host's pages are
 concatenated, the suffixes are sorted by their first ``LENGTH`` tokens (prefix doubling), and equal neighbours from
-distinct pages cover boilerplate. Covered open blocks go and unique ones stay; where a page marks its content up, the
-markup is the check that follows the array: content stays whole, since articles share lines with other articles and
-with chrome, and everything else goes.
+distinct pages cover boilerplate. On a host of more than ``PAGES`` pages, hashes of the windows of ``LENGTH`` tokens
+are counted instead, which finds the same repeats without one task for the host.
+Covered open blocks go and unique ones stay; where a page marks its content up, the markup is the check that follows:
+content stays whole, since articles share lines with other articles and with chrome, and everything else goes.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,13 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gatelake.llm.common import shared_table
-from gatelake.llm.shingles import word_hashes
+from gatelake.llm.shingles import mix, word_hashes
 
 #: Tokens that a repeated substring has at least; a power of two.
 LENGTH = 8
 #: Share of a block's tokens from which it counts as covered.
 COVERED = 0.8
-#: Pages of one host sorted together. A host with more is dealt over several arrays by a hash of the page.
+#: Pages of one host sorted together. On a host with more, windows are counted by a shuffle.
 PAGES = 1024
 #: Up to so many hosts above PAGES, their counts are broadcast; more are joined by a shuffle.
 LARGE_HOSTS = 100_000
@@ -113,16 +116,27 @@ def blocks(page: str) -> list[tuple[str, int]]:
     return out
 
 
-def covered_share(texts: list[str], zones: np.ndarray, pages: np.ndarray) -> np.ndarray:
-    """Share of each block's tokens covered by repeats of LENGTH tokens in distinct pages; content counts as evidence and is never covered."""
+def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of ``texts`` and the number of each text's first one."""
     raw = [t.encode("utf-8", "replace") for t in texts]
     bounds = np.concatenate(([0], np.cumsum([len(r) for r in raw]))).astype(np.int64)
-    words, first = word_hashes(np.frombuffer(b"".join(raw), dtype=np.uint8), bounds)
+    return word_hashes(np.frombuffer(b"".join(raw), dtype=np.uint8), bounds)
+
+
+def spread(hit: np.ndarray) -> np.ndarray:
+    """Tokens that lie in a window that starts at a hit."""
+    n = len(hit)
+    edge = np.zeros(n + LENGTH, dtype=np.int64)
+    edge[:n] += hit
+    edge[LENGTH:] -= hit
+    return np.cumsum(edge[:n]) > 0
+
+
+def repeats(words: np.ndarray, page: np.ndarray, same: np.ndarray) -> np.ndarray:
+    """Starts of windows of LENGTH tokens that occur in pages of two different ``same``; both arrays give a token's page."""
     n = len(words)
     if n < LENGTH:
-        return np.zeros(len(texts))
-    block = np.repeat(np.arange(len(texts)), np.diff(first))
-    page = pages[block]
+        return np.zeros(n, dtype=bool)
     rank = np.unique(words, return_inverse=True)[1].astype(np.int64)
     width = 1
     while width < LENGTH:  # the order of the suffixes by their first 2 * width tokens
@@ -132,22 +146,20 @@ def covered_share(texts: list[str], zones: np.ndarray, pages: np.ndarray) -> np.
         width *= 2
     whole = np.zeros(n, dtype=bool)
     whole[: n - LENGTH + 1] = page[LENGTH - 1 :] == page[: n - LENGTH + 1]
-    outside = zones[block] != CONTENT
-
-    def repeated(where: np.ndarray) -> np.ndarray:
-        """Ranks that occur at ``where`` in two pages at least."""
-        low, high = np.full(n, np.iinfo(np.int64).max), np.full(n, -1)
-        np.minimum.at(low, rank[where], page[where])
-        np.maximum.at(high, rank[where], page[where])
-        return high > low
-
-    def cover(hit: np.ndarray) -> np.ndarray:
-        edge = np.zeros(n + 1, dtype=np.int64)
-        np.add.at(edge, np.flatnonzero(hit), 1)
-        np.add.at(edge, np.flatnonzero(hit) + LENGTH, -1)
-        return np.cumsum(edge[:n]) > 0
-
-    taken = cover(whole & repeated(whole)[rank]) & outside
+    low, high = np.full(n, np.iinfo(np.int64).max), np.full(n, -1)
+    np.minimum.at(low, rank[whole], same[whole])
+    np.maximum.at(high, rank[whole], same[whole])
+    return whole & (high > low)[rank]
+
+
+def covered_share(texts: list[str], zones: np.ndarray, pages: np.ndarray) -> np.ndarray:
+    """Share of each block's tokens covered by repeats of LENGTH tokens in distinct pages; content counts as evidence and is never covered."""
+    words, first = tokens(texts)
+    page = np.repeat(pages, np.diff(first))
+    return _shares(spread(repeats(words, page, page)) & np.repeat(zones != CONTENT, np.diff(first)), first)
+
+
+def _shares(taken: np.ndarray, first: np.ndarray) -> np.ndarray:
     sums = np.concatenate(([0], np.cumsum(taken)))
     return (sums[first[1:]] - sums[first[:-1]]) / np.maximum(np.diff(first), 1)
 
@@ -158,29 +170,114 @@ def main_text(parsed: list[tuple[str, int]], share: np.ndarray) -> str:
     return "\n".join(t for (t, z), s in zip(parsed, share) if z == wanted and s < COVERED)
 
 
+def page_text(parsed: list[tuple[str, int]], hit: np.ndarray, first: np.ndarray) -> str:
+    """The text of one page without content markup; ``hit`` and ``first`` are of its own tokens."""
+    return main_text(parsed, _shares(spread(hit), first))
+
+
+def marked(parsed: list[tuple[str, int]]) -> bool:
+    return any(z == CONTENT for _, z in parsed)
+
+
+def window_hashes(words: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the windows of LENGTH tokens, in order."""
+    n = len(words) - LENGTH + 1
+    if n <= 0:
+        return np.zeros(0, dtype=np.int64)
+    h = np.zeros(n, dtype=np.uint64)
+    for k in range(LENGTH):
+        h = mix(h + words[k : k + n])
+    return h.view(np.int64)
+
+
 def _host_pages(table: pa.Table) -> pa.Table:
     order = table.sort_by("page_id")
     parsed = [blocks(x) for x in order.column("html").to_pylist()]
-    counts = [len(p) for p in parsed]
-    texts = [t for p in parsed for t, _ in p]
-    zones = np.array([z for p in parsed for _, z in p], dtype=np.int64)
-    share = covered_share(texts, zones, np.repeat(np.arange(len(parsed)), counts)) if texts else np.zeros(0)
-    ends = np.cumsum(counts)
-    out = [main_text(p, share[e - len(p) : e]) for p, e in zip(parsed, ends)]
+    if all(marked(p) for p in parsed):
+        out = [main_text(p, np.zeros(len(p))) for p in parsed]
+    else:
+        counts = [len(p) for p in parsed]
+        words, first = tokens([t for p in parsed for t, _ in p])
+        page = np.repeat(np.repeat(np.arange(len(parsed)), counts), np.diff(first))
+        hit = repeats(words, page, page)
+        out, b = [], 0
+        for p in parsed:
+            own = first[b : b + len(p) + 1]
+            out.append(main_text(p, np.zeros(len(p))) if marked(p) or not p else page_text(p, hit[own[0] : own[-1]], own - own[0]))
+            b += len(p)
     return pa.table({"page_id": order.column("page_id"), "url": order.column("url"), "text": pa.array(out, pa.string())})
 
 
+_PARSED = "row long, host string, page_id long, url string, marked boolean, texts array<string>, zones array<int>"
+
+
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages (row, host, page_id, url, html) as their blocks."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            parsed = [blocks(x) for x in part.column(4).to_pylist()]
+            held = pa.array([marked(p) for p in parsed], pa.bool_())
+            texts = pa.array([[t for t, _ in p] for p in parsed], pa.list_(pa.string()))
+            zones = pa.array([[z for _, z in p] for p in parsed], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*part.columns[:4], held, texts, zones], ["row", "host", "page_id", "url", "marked", "texts", "zones"])
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct windows of each page (row, host, texts)."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            row, host, texts = (c[k].as_py() for c in batch.columns)
+            found = np.unique(window_hashes(tokens(texts)[0]))
+            yield pa.RecordBatch.from_arrays([pa.array([x] * len(found), t) for x, t in ((row, pa.int64()), (host, pa.string()))] + [pa.array(found, pa.int64())], ["row", "host", "window"])
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Text of each page (page_id, url, texts, zones, known); ``known`` are its repeated windows."""
+    for batch in batches:
+        out = []
+        for texts, zones, known in zip(*(batch.column(c).to_pylist() for c in (2, 3, 4))):
+            parsed = list(zip(texts, zones))
+            if marked(parsed) or not parsed:
+                out.append(main_text(parsed, np.zeros(len(parsed))))
+                continue
+            words, first = tokens(texts)
+            hit = np.zeros(len(words), dtype=bool)
+            found = window_hashes(words)
+            hit[: len(found)] = np.isin(found, np.array(known or [], dtype=np.int64))
+            out.append(page_text(parsed, hit, first))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], ["page_id", "url", "text"])
+
+
+def _large_hosts(rows: DataFrame) -> DataFrame:
+    """page_id, url and text of the pages of large hosts: repeated windows are counted over the whole host by shuffles."""
+    parsed = rows.select(F.monotonically_increasing_id().alias("row"), "host", "page_id", "url", "html").mapInArrow(_parse, _PARSED)
+    parsed = shared_table(parsed, "html_blocks")
+    plain = parsed.where(~F.col("marked"))
+    known = None
+    if not plain.isEmpty():
+        # Only hosts with a page that says nothing by markup need their windows.
+        evidence = parsed.join(plain.select("host").distinct(), "host", "left_semi").select("row", "host", "texts")
+        shape = "row long, host string, window long"
+        windows = evidence.mapInArrow(_windows, shape)
+        twice = windows.groupBy("host", "window").agg(F.min("row").alias("a"), F.max("row").alias("b")).where("a < b")
+        twice = shared_table(twice.select("host", "window"), "html_windows")
+        asked = plain.select("row", "host", "texts").mapInArrow(_windows, shape)
+        known = asked.join(twice, ["host", "window"], "left_semi").groupBy("row").agg(F.collect_list("window").alias("known"))
+    got = parsed.join(known, "row", "left") if known is not None else parsed.withColumn("known", F.lit(None).cast("array<long>"))
+    return got.select("page_id", "url", "texts", "zones", "known").mapInArrow(_texts, "page_id long, url string, text string")
+
+
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url and text for each row of ``pages``; a page without main text, or without html, has an empty text.
 
-    Pages without a host form a group of their own. Repeats are looked for among at most about PAGES pages of a host at
-    a time, so no task holds a whole large host. Repeated rows are pages of their own; an empty table gives an empty result.
+    Pages without a host form a group of their own. Repeats are decided over all pages of a host; only hosts of at most
+    PAGES pages are held by one task. An empty table gives an empty result.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     rows = rows.withColumn("host", F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1)), F.lit("")))
-    # Only hosts with more than PAGES pages are dealt out, so only their counts are joined back.
-    large = shared_table(rows.groupBy("host").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PAGES), "html_hosts")
-    large = F.broadcast(large) if large.count() <= LARGE_HOSTS else large
-    deals = F.coalesce(F.pmod(F.xxhash64("page_id"), F.ceil(F.col("n") / PAGES)), F.lit(0))
-    rows = rows.join(large, "host", "left").withColumn("deal", deals).repartition("host", "deal")
-    return rows.select("host", "deal", "page_id", "url", "html").groupBy("host", "deal").applyInArrow(_host_pages, "page_id long, url string, text string")
+    large = shared_table(rows.groupBy("host").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PAGES).select("host"), "html_hosts")
+    n = large.count()
+    held = F.broadcast(large) if n <= LARGE_HOSTS else large
+    small = rows.join(held, "host", "left_anti").repartition("host").select("host", "page_id", "url", "html").groupBy("host").applyInArrow(_host_pages, "page_id long, url string, text string")
+    return small.unionByName(_large_hosts(rows.join(held, "host", "left_semi"))) if n else small

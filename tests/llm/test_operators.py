@@ -524,5 +524,16 @@ def test_large_hosts_are_dealt_out(spark, monkeypatch):
     assert rows(html_text.extract(df), "page_id", "text") == sorted([(k, f"article {k}") for k in range(55)], key=repr)
 
 
+@pytest.mark.parametrize("limit", [10, 1024])
+def test_unmarked_host_loses_a_passage_on_two_pages(spark, monkeypatch, limit):
+    monkeypatch.setattr(html_text, "PAGES", limit)
+    rng = np.random.default_rng(2)
+    own = lambda k: " ".join("w%x" % rng.integers(1 << 40) for _ in range(k))
+    two, alone = own(12), [own(60) for _ in range(64)]
+    df = spark.createDataFrame([(k, "http://big.com/%d" % k, page(f"<p>{t}</p>" + f"<p>{two}</p>" * (k in (0, 63)))) for k, t in enumerate(alone)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.extract(df).collect()}
+    assert [got[k] for k in range(64)] == alone
+
+
 def test_names_used_here():
     assert CLASHING and LONG
