@@ -4,8 +4,9 @@ Each page is parsed into text blocks with a zone: content (inside an article or
 footers, sidebars, adverts, forms and the like) or open (neither). The token streams of a host's pages are
 concatenated, the suffixes are sorted by their first ``LENGTH`` tokens (prefix doubling), and equal neighbours from
 distinct pages cover boilerplate. On a host of more than ``PAGES`` pages, hashes of the windows of ``LENGTH`` tokens
-are counted instead, which finds the same repeats without one task for the host.
-Covered open blocks go and unique ones stay; where a page marks its content up, the markup is the check that follows:
+are counted instead, which finds the same repeats without one task for the host. Near-equal pages count as one, so copies
+of a page are no evidence against each other. Open blocks that are covered as a whole go, runs repeated inside a
+block are cut out of it, and the rest stays; where a page marks its content up, the markup is the check that follows:
 content stays whole, since articles share lines with other articles and with chrome, and everything else goes.
 """
 
@@ -22,14 +23,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gatelake.llm.common import shared_table
-from gatelake.llm.shingles import mix, word_hashes
+from gatelake.llm.near_dedup import links_among, near_duplicates
+from gatelake.llm.shingles import mix, shingle_sets, word_hashes
 
 #: Tokens that a repeated substring has at least; a power of two.
 LENGTH = 8
 #: Share of a block's tokens from which it counts as covered.
-COVERED = 0.8
+COVERED = 1.0
 #: Pages of one host sorted together. On a host with more, windows are counted by a shuffle.
 PAGES = 1024
+#: Pages that share so many percent of their shingles of so many words, as links reach, are near-equal; chrome is left out.
+WIDTH, PERCENT = 5, 90
 #: Up to so many hosts above PAGES, their counts are broadcast; more are joined by a shuffle.
 LARGE_HOSTS = 100_000
 
@@ -164,6 +168,23 @@ def _shares(taken: np.ndarray, first: np.ndarray) -> np.ndarray:
     return (sums[first[1:]] - sums[first[:-1]]) / np.maximum(np.diff(first), 1)
 
 
+def without_repeats(texts: list[str], hit: np.ndarray, first: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """The texts of blocks without the runs that windows inside the block repeat, and the share of each block covered.
+
+    ``hit`` marks the starts of repeated windows among the tokens. A window over the end of a block counts for the share
+    alone: it takes blocks that are covered as a whole, and no words from the edge of others.
+    """
+    share = _shares(spread(hit), first)
+    block = np.repeat(np.arange(len(texts)), np.diff(first))
+    inside = hit.copy()
+    inside[: max(0, len(hit) - LENGTH + 1)] &= block[LENGTH - 1 :] == block[: max(0, len(hit) - LENGTH + 1)]
+    cut = spread(inside)
+    out = list(texts)
+    for k in np.unique(block[cut]).tolist():
+        out[k] = " ".join(w for w, c in zip(texts[k].split(), cut[first[k] : first[k + 1]]) if not c)
+    return out, share
+
+
 def main_text(parsed: list[tuple[str, int]], share: np.ndarray) -> str:
     has_content = any(z == CONTENT for _, z in parsed)
     wanted = CONTENT if has_content else OPEN
@@ -172,13 +193,22 @@ def main_text(parsed: list[tuple[str, int]], share: np.ndarray) -> str:
 
 def page_text(parsed: list[tuple[str, int]], hit: np.ndarray, first: np.ndarray) -> str:
     """The text of one page without content markup; ``hit`` and ``first`` are of its own tokens."""
-    return main_text(parsed, _shares(spread(hit), first))
+    cut, share = without_repeats([t for t, _ in parsed], hit, first)
+    return main_text([(t, z) for t, (_, z) in zip(cut, parsed)], share)
 
 
 def marked(parsed: list[tuple[str, int]]) -> bool:
     return any(z == CONTENT for _, z in parsed)
 
 
+def alike(texts: list[str]) -> np.ndarray:
+    """A number for each page's text that near-equal pages share."""
+    out = np.arange(len(texts))
+    for a, b in links_among(list(shingle_sets(pa.array(texts, pa.string()), WIDTH)), PERCENT):
+        out[out == out[b]] = out[a]
+    return out
+
+
 def window_hashes(words: np.ndarray) -> np.ndarray:
     """64-bit hashes of the windows of LENGTH tokens, in order."""
     n = len(words) - LENGTH + 1
@@ -199,7 +229,7 @@ def _host_pages(table: pa.Table) -> pa.Table:
         counts = [len(p) for p in parsed]
         words, first = tokens([t for p in parsed for t, _ in p])
         page = np.repeat(np.repeat(np.arange(len(parsed)), counts), np.diff(first))
-        hit = repeats(words, page, page)
+        hit = repeats(words, page, alike([" ".join(t for t, z in p if z != CHROME) for p in parsed])[page])
         out, b = [], 0
         for p in parsed:
             own = first[b : b + len(p) + 1]
@@ -256,11 +286,15 @@ def _large_hosts(rows: DataFrame) -> DataFrame:
     plain = parsed.where(~F.col("marked"))
     known = None
     if not plain.isEmpty():
-        # Only hosts with a page that says nothing by markup need their windows.
-        evidence = parsed.join(plain.select("host").distinct(), "host", "left_semi").select("row", "host", "texts")
+        # Only hosts with a page that says nothing by markup need their windows. Words carry the host, so near-equal pages are of one.
+        evidence = parsed.join(plain.select("host").distinct(), "host", "left_semi").select("row", "host", "texts", "zones")
+        mark = F.concat(F.lit(" "), F.col("host"), F.lit("|"))
+        said = F.transform(F.filter(F.arrays_zip("texts", "zones"), lambda b: b["zones"] != CHROME), lambda b: b["texts"])
+        said = F.when(F.size(said) > 0, F.replace(F.concat(F.lit(" "), F.array_join(said, " ")), F.lit(" "), mark)).otherwise("")
+        own = near_duplicates(evidence.select("row", said.alias("text")), id_col="row", width=WIDTH, percent=PERCENT)
         shape = "row long, host string, window long"
-        windows = evidence.mapInArrow(_windows, shape)
-        twice = windows.groupBy("host", "window").agg(F.min("row").alias("a"), F.max("row").alias("b")).where("a < b")
+        windows = evidence.select("row", "host", "texts").mapInArrow(_windows, shape).join(own.select(F.col("doc_id").alias("row"), "component_id"), "row")
+        twice = windows.groupBy("host", "window").agg(F.min("component_id").alias("a"), F.max("component_id").alias("b")).where("a < b")
         twice = shared_table(twice.select("host", "window"), "html_windows")
         asked = plain.select("row", "host", "texts").mapInArrow(_windows, shape)
         known = asked.join(twice, ["host", "window"], "left_semi").groupBy("row").agg(F.collect_list("window").alias("known"))

@@ -535,5 +535,37 @@ def test_unmarked_host_loses_a_passage_on_two_pages(spark, monkeypatch, limit):
     assert [got[k] for k in range(64)] == alone
 
 
+def unmarked_site(n):
+    """Pages without markup: a passage on all, one on two pages, one inside a block, two copies of a page and two near-copies."""
+    rng = np.random.default_rng(n)
+    own = lambda k: " ".join("w%x" % rng.integers(1 << 40) for _ in range(k))
+    every, two, run = own(12), own(12), own(10)
+    alone = [own(60) for _ in range(n)]
+    body = [f"<p>{every}</p><p>{t}</p>" for t in alone]
+    want = list(alone)
+    for k in (0, n - 1):
+        body[k] += f"<p>{two}</p>"
+    for k in (1, n - 2):
+        left, right = own(9), own(2)
+        body[k] += f"<p>{left} {run} {right}</p>"
+        want[k] += f"\n{left} {right}"
+    body[3], want[3] = f"<nav>{own(30)}</nav>" + body[2], want[2]
+    body[5], want[5] = body[4].replace(alone[4], alone[4] + " edited"), alone[4] + " edited"
+    return body, want
+
+
+@pytest.mark.parametrize("limit", [10, 1024])
+def test_unmarked_hosts_of_any_size_lose_repeats_alone(spark, monkeypatch, limit):
+    monkeypatch.setattr(html_text, "PAGES", limit)
+    body, want = unmarked_site(64)
+    df = spark.createDataFrame([(k, "http://big.com/%d" % k, page(b)) for k, b in enumerate(body)] + [(100, "http://other.com", page(body[0]))], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.extract(df).collect()}
+    assert [got[k] for k in range(64)] == want
+    assert got[100].count("\n") == 2
+    # One page twice, as a repeated row.
+    twice = df.where("page_id = 7").union(df.where("page_id in (7, 8)"))
+    assert sorted(r["text"] for r in html_text.extract(twice).collect()) == sorted([want[7], want[7], want[8]])
+
+
 def test_names_used_here():
     assert CLASHING and LONG
