@@ -234,6 +234,19 @@ def q124_waypoint_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.waypoint_fanout(src.select("label", "node"), keep(peers), star.event_edges(spark, sf_dir), t.where("event_type = 'click'").select(F.col("event_id").alias("node")), max_hops=10)
 
 
+@query(_EVENTS + """, wp AS (SELECT event_id FROM events WHERE event_type = 'click'), s AS (SELECT event_id, user_id FROM events WHERE event_type = 'signup'), peers AS (SELECT s.event_id AS label, t.event_id AS node FROM s JOIN events t ON t.user_id = s.user_id AND t.event_type = 'purchase'),
+w(label, node, qualified, ended, hop) AS (SELECT event_id, event_id, false, false, 0 FROM s
+  UNION ALL SELECT w.label, e.dst, w.qualified OR e.dst IN (SELECT event_id FROM wp), e.dst IN (SELECT node FROM peers), w.hop + 1 FROM w JOIN event_edges e ON e.src = w.node WHERE NOT w.ended)
+SELECT label, node, qualified, ended AS is_terminator, CAST(hop AS INTEGER) AS hop FROM w
+""")
+def q124b_waypoint_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fan-out of every signup that remembers whether a click was passed, up to the user's purchases, however far."""
+    t = star.table(spark, sf_dir, "events")
+    src = t.where("event_type = 'signup'").select(F.col("event_id").alias("label"), F.col("event_id").alias("node"), "user_id")
+    peers = src.select("label", "user_id").join(t.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("node")), "user_id").select("label", "node")
+    return graph.waypoint_fanout(src.select("label", "node"), keep(peers), star.event_edges(spark, sf_dir), t.where("event_type = 'click'").select(F.col("event_id").alias("node")), max_hops=1 << 30)
+
+
 @query(_EVENTS + """, w(label, node, spent, hop) AS (SELECT event_id, event_id, 0, 0 FROM events
   UNION ALL SELECT w.label, e.dst, w.spent + CASE WHEN e.kind = 'purchase' THEN 1 ELSE 0 END, w.hop + 1 FROM w JOIN event_edges e ON e.src = w.node WHERE w.hop < 8 AND w.spent + CASE WHEN e.kind = 'purchase' THEN 1 ELSE 0 END <= 1)
 SELECT label, node, CAST(hop AS INTEGER) AS hop, CAST(spent AS INTEGER) AS spent, CASE WHEN spent >= 1 THEN 'satisfied' WHEN hop >= 8 THEN 'truncated' WHEN node NOT IN (SELECT src FROM event_edges) THEN 'exhausted' ELSE 'internal' END AS status FROM w
@@ -244,6 +257,16 @@ def q125_until_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return until_budget(seeds, star.event_edges(spark, sf_dir), kind="purchase", limit=1, max_hops=8)
 
 
+@query(_EVENTS + """, w(label, node, spent, hop) AS (SELECT event_id, event_id, 0, 0 FROM events
+  UNION ALL SELECT w.label, e.dst, w.spent + CASE WHEN e.kind = 'purchase' THEN 1 ELSE 0 END, w.hop + 1 FROM w JOIN event_edges e ON e.src = w.node WHERE w.hop < 64 AND w.spent + CASE WHEN e.kind = 'purchase' THEN 1 ELSE 0 END <= 1)
+SELECT label, node, CAST(hop AS INTEGER) AS hop, CAST(spent AS INTEGER) AS spent, CASE WHEN spent >= 1 THEN 'satisfied' WHEN hop >= 64 THEN 'truncated' WHEN node NOT IN (SELECT src FROM event_edges) THEN 'exhausted' ELSE 'internal' END AS status FROM w
+""")
+def q125c_until_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cone for every event that ends after one register edge; what costs nothing is still taken at the budget, for 64 hops."""
+    seeds = star.table(spark, sf_dir, "events").select(F.col("event_id").alias("label"), F.col("event_id").alias("node"))
+    return until_budget(seeds, star.event_edges(spark, sf_dir), kind="purchase", limit=1)
+
+
 @query(_EVENTS + """, w(label, node, hop) AS (SELECT event_id, event_id, 0 FROM events UNION ALL SELECT w.label, e.dst, w.hop + 1 FROM w JOIN event_edges e ON e.src = w.node WHERE w.hop < 3)
 SELECT label, node, CAST(hop AS INTEGER) AS hop, CAST(hop AS INTEGER) AS spent, CASE WHEN hop >= 3 THEN 'satisfied' WHEN node NOT IN (SELECT src FROM event_edges) THEN 'exhausted' ELSE 'internal' END AS status FROM w
 """)
