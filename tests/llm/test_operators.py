@@ -384,6 +384,11 @@ def test_personal_data_like_plain_patterns(spark):
             assert [s["kind"] for s in r["spans"]] == ["local_phone", "secret", "secret", "ssn"]
 
 
+def test_secret_is_a_candidate_with_and_without_a_digit_elsewhere(spark):
+    df = spark.createDataFrame([(1, "my password=correcthorse here", False), (2, "my password=correcthorse here 7", True)], "doc_id long, text string, has_digit boolean")
+    assert rows(df.select("doc_id", pii.found(F.col("text"), "secret").alias("hits")), "doc_id", "hits") == [(1, ["password=correcthorse"]), (2, ["password=correcthorse"])]
+
+
 def test_personal_data_awkward_rows(docs, none):
     got = rows(pii.detect(docs), "doc_id", F.size("base"), F.size("spans"))
     assert len(got) == len(ROWS) and sum(n for _, n, _ in got) == 3
