@@ -7,6 +7,7 @@ matching verifies the text around each hit and gives the span.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -58,7 +59,7 @@ def _searcher(notices: tuple[tuple[str, str, int], ...]):
     for seed, where in seeds.items():
         find.add_word(seed, (len(seed), where))
     find.make_automaton()
-    return find, [regex.compile(rf"(?e)(?<![^ ])(?:{regex.escape(notice, literal_spaces=True)}){{e<={k}}}(?![^ ])") for notice, _, k in notices]
+    return find, [regex.compile(rf"(?e)(?<= )(?:{regex.escape(notice, literal_spaces=True)}){{e<={k}}}(?= )") for notice, _, k in notices]
 
 
 def scan(text: bytes, notices=NOTICES, base=BASE) -> tuple[int, list[tuple[int, str]], list[tuple[int, int, str, int, float, str]]]:
@@ -68,14 +69,16 @@ def scan(text: bytes, notices=NOTICES, base=BASE) -> tuple[int, list[tuple[int,
     """
     words = text.translate(TABLE).split()
     line = b" " + b" ".join(words) + b" "
-    places = []
+    places: list[tuple[int, str]] = []
+    gaps = None  # where words begin, found once a text has a place or a span
     for phrase, label in base:
         at, what = -1, b" " + phrase.encode() + b" "
         while (at := line.find(what, at + 1)) >= 0:
-            places.append((line.count(b" ", 0, at), label))
+            gaps = _spaces(line) if gaps is None else gaps
+            places.append((bisect_left(gaps, at), label))
     find, patterns = _searcher(notices)
     norm = line.decode("utf-8", "replace")
-    tried, found = set(), []
+    tried, found = set(), set()
     for end, (size, where) in find.iter(norm):
         for i, offset in where:
             notice, label, k = notices[i]
@@ -83,24 +86,39 @@ def scan(text: bytes, notices=NOTICES, base=BASE) -> tuple[int, list[tuple[int,
             if (i, start) in tried:
                 continue
             tried.add((i, start))
-            lo = max(0, start - k)
-            if m := patterns[i].search(norm, lo, min(len(norm), start + len(notice) + k)):
+            # One more character on both sides than a match can reach, so both of its ends are seen to be ends of words.
+            lo = max(0, start - k - 1)
+            if m := patterns[i].search(norm[lo : start + len(notice) + k + 1]):
                 edits = sum(m.fuzzy_counts)
-                found.append((edits / len(notice), m.start(), m.start() - m.end(), label, edits))
-    spans, taken = [], []
-    for share, a, minus, label, edits in sorted(set(found)):
+                found.add((edits / len(notice), lo + m.start(), m.start() - m.end(), label, edits))
+    if not found:
+        return len(words), sorted(places), []
+    spans, starts, ends = [], [], []
+    gaps = [m.start() for m in regex.finditer(" ", norm)]
+    for share, a, minus, label, edits in sorted(found):
         b = a - minus
-        if all(b <= x or y <= a for x, y in taken):
-            taken.append((a, b))
-            spans.append((norm.count(" ", 0, a) - 1, norm.count(" ", a, b) + 1, label, edits, 1 - share, norm[a:b]))
+        at = bisect_left(starts, b)  # the spans taken so far are apart, so only the last one that starts before b can reach into this one
+        if at and ends[at - 1] > a:
+            continue
+        starts.insert(at, a)
+        ends.insert(at, b)
+        first = bisect_left(gaps, a)
+        spans.append((first - 1, bisect_left(gaps, b) - first + 1, label, edits, 1 - share, norm[a:b]))
     return len(words), sorted(places), sorted(spans)
 
 
+def _spaces(line: bytes) -> list[int]:
+    return [m.start() for m in regex.finditer(b" ", line)]
+
+
 def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", notices=NOTICES, base=BASE) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, the base places and the verified spans of the notices.
 
     Texts are read whole; A-Z are lower-cased and words are runs of digits, letters and all characters beyond ASCII. A
-    null or empty text has no words and no spans. Repeated rows give repeated results, other columns are not read.
+    null or empty text has no words and no spans. Of notices that overlap, the one with fewer edits a character stays, of
+    equal ones the earlier, then the longer, then the first label. Very long texts and words cost time in proportion to
+    their length and to their seeds. Repeated rows give repeated results, other columns (also of clashing names) are not
+    read, an empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
