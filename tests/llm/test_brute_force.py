@@ -2,9 +2,12 @@
 
 import random
 
+import time
+
+import numpy as np
 import pytest
 
-from gatelake.llm import license_scan
+from gatelake.llm import html_text, license_scan
 
 
 def distance(a, b):
@@ -45,3 +48,77 @@ def test_licence_spans_like_all_substrings(notice, label, k):
 def test_licence_scan_of_a_long_text_takes_linear_time():
     n, base, spans = license_scan.scan(b"released under the mit license " * 20_000 + b"under the mit" * 50_000)
     assert len(base) == 20_000 and len(spans) == 20_000 and spans[-1][0] == 19_999 * 5
+
+
+def test_suffix_array_like_sorting():
+    rng = np.random.default_rng(1)
+    for _ in range(100):
+        n = int(rng.integers(1, 60))
+        words, page = rng.integers(0, 3, n).astype(np.uint64), np.sort(rng.integers(0, 4, n))
+        suffixes = [tuple(words[i : np.searchsorted(page, page[i], side="right")].tolist()) for i in range(n)]
+        order, shared = html_text.suffix_array(words, page)
+        got = [suffixes[i] for i in order]
+        assert got == sorted(got)
+        for a, b, k in zip(got, got[1:], shared[1:]):
+            assert a[:k] == b[:k] and (k == min(len(a), len(b)) or a[k] != b[k])
+
+
+def plain_host(pages):
+    """Texts of a host's pages (lists of block and zone), by comparing windows of tokens one by one."""
+    n = html_text.LENGTH
+    streams = [[w for t, _ in p for w in t.split()] for p in pages]
+    seen = {}
+    for k, s in enumerate(streams):
+        for i in range(len(s) - n + 1):
+            seen.setdefault(tuple(s[i : i + n]), set()).add(k)
+    out = []
+    for p, s in zip(pages, streams):
+        hit = [len(seen.get(tuple(s[i : i + n]), ())) > 1 for i in range(len(s))]
+        covered = [any(hit[max(0, i - n + 1) : i + 1]) for i in range(len(s))]
+        lines, at = [], 0
+        for text, zone in p:
+            words = text.split()
+            end = at + len(words)
+            cut = [any(hit[j] for j in range(max(at, i - n + 1), i + 1) if j + n <= end) for i in range(at, end)]
+            if zone == html_text.CONTENT:
+                lines.append(text)
+            elif zone == html_text.OPEN and not all(covered[at:end]):
+                lines.append(" ".join(w for w, c in zip(words, cut) if not c))
+            at = end
+        out.append("\n".join(lines))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_host_texts_like_plain_windows(seed, monkeypatch):
+    monkeypatch.setattr(html_text, "alike", lambda texts: np.arange(len(texts)))
+    rng = np.random.default_rng(seed)
+    pool = [" ".join(rng.choice(list("abcdefgh"), size=rng.integers(1, 14))) for _ in range(12)]
+    pages = [[(pool[rng.integers(12)] + rng.choice(["", f" {k}x{j}"]), int(rng.integers(3))) for j in range(rng.integers(0, 7))] for k in range(9)]
+    assert html_text.host_texts(pages) == plain_host(pages)
+
+
+def site(n):
+    rng = np.random.default_rng(n)
+    own = lambda k: " ".join("w%x" % rng.integers(1 << 40) for _ in range(k))
+    notice = own(12)
+    alone, beside = [own(40) for _ in range(n)], [own(9) for _ in range(n)]
+    return [f"<div>{notice}</div><article><p>{a}</p><p>{notice}</p></article><div>{b}</div>" for a, b in zip(alone, beside)], [f"{a}\n{notice}\n{b}" for a, b in zip(alone, beside)], notice
+
+
+@pytest.mark.parametrize("limit", [5, 1024])
+def test_array_decides_blocks_beside_marked_content(spark, monkeypatch, limit):
+    monkeypatch.setattr(html_text, "PAGES", limit)
+    bodies, want, notice = site(20)
+    df = spark.createDataFrame([(k, f"http://a.com/{k}", b) for k, b in enumerate(bodies)], "page_id long, url string, html string")
+    texts = lambda: [r["text"] for r in html_text.extract(df).orderBy("page_id").collect()]
+    assert texts() == want
+    if limit == 1024:  # without the array the notice stays
+        assert html_text.host_texts([html_text.blocks(bodies[0])]) == [f"{notice}\n{want[0]}"]
+
+
+@pytest.mark.parametrize("page", ["<a " * 350_000, '<a "' * 250_000 + ">", "<a \"'>" * 150_000, "<div>" * 100_000 + "</span>" * 80_000, "<script>" + "</script " * 100_000, "<!--" * 250_000, "<" * 1_000_000, "<!" * 500_000 + ">", "<p x='" * 160_000 + "<b>y"], ids=range(9))
+def test_broken_markup_takes_linear_time(page):
+    began = time.perf_counter()
+    html_text.blocks(page)
+    assert time.perf_counter() - began < 8
