@@ -6,8 +6,9 @@ import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from gatelake.llm import html_text, license_scan
+from gatelake.llm import exact_dedup, html_text, license_scan
 
 
 def distance(a, b):
@@ -122,3 +123,29 @@ def test_broken_markup_takes_linear_time(page):
     began = time.perf_counter()
     html_text.blocks(page)
     assert time.perf_counter() - began < 8
+
+
+@pytest.mark.parametrize("copies", [0, 3, 400])
+@pytest.mark.parametrize("keep", ["min", "max"])
+def test_exact_like_dictionaries(spark, copies, keep):
+    rng = random.Random(copies)
+    texts = [f"text {k} " + "same start " * 9 for k in range(600)] + ["copied"] * copies + [None, ""] * copies + ["a\x00b"] * (copies > 0)
+    rng.shuffle(texts)
+    ids = rng.sample(range(10**6), len(texts))
+    df = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").repartition(5)
+    groups = {}
+    for i, t in zip(ids, texts):
+        groups.setdefault(t or "", []).append(i)
+    best = {t: (min if keep == "min" else max)(own) for t, own in groups.items()}
+    want = sorted((i, best[t or ""], len(groups[t or ""]), i == best[t or ""]) for i, t in zip(ids, texts))
+    got = exact_dedup.exact_dedup(df, keep=keep)
+    assert sorted(tuple(r) for r in got.select("doc_id", "keep_id", "group_size", "kept").collect()) == want
+    assert sorted(r["doc_id"] for r in exact_dedup.kept_rows(df, keep=keep).collect()) == sorted(best.values())
+
+
+def test_exact_deals_out_only_texts_with_many_rows(spark):
+    n = exact_dedup.SPREAD * 4
+    df = spark.range(100 * n).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("t"), (F.col("id") % (40 * n)).cast("string"))).alias("text"))
+    runs, dealt, names = exact_dedup._sorted_runs(df, "doc_id", "text", "none", "min", [])
+    sizes = runs.where(F.col(names["place"]) == 1).groupBy(names["body"]).agg(F.count(F.lit(1)).alias("runs"), F.max(names["run_size"]).alias("most")).collect()
+    assert dealt and all((r["runs"] > 1) == (r[0] == "hot") for r in sizes) and max(r["most"] for r in sizes) < 300
