@@ -7,22 +7,46 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no shared folder.
-FALLBACK_DIR = "/tmp/checkpoints/gatelake"
+#: Set where the session names no folder, and only with a local master, whose driver and tasks are one process.
+LOCAL_DIR = "/tmp/checkpoints/gatelake"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return named.rstrip("/") if named else FALLBACK_DIR
+    """The folder that the driver and all executors see: spark.checkpoint.dir. On a cluster it has to be set."""
+    conf = spark.sparkContext.getConf()
+    named = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not conf.get("spark.master", "").startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir names no folder that the driver and the executors share")
+    return LOCAL_DIR
+
+
+def fresh_path(spark: SparkSession, label: str) -> str:
+    """A path of its own in the shared folder; it goes when the session's process ends."""
+    path = f"{shared_dir(spark)}/tables/{label}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
 
+def keep(df: DataFrame, label: str = "frame") -> DataFrame:
+    """Write ``df`` into the shared folder and read it back: lineage ends, and executors may be lost.
 
-def keep(df: DataFrame) -> DataFrame:
-    """Write ``df`` into the shared folder and read it back: lineage ends, and executors may be lost. Gone with the process."""
+    The files go with ``drop``, or when the session's process ends.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/frames/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = fresh_path(spark, label)
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kept_at = path
+    return out
+
+
+def drop(*frames: DataFrame) -> None:
+    """Remove the files of kept frames that nothing reads any more; other frames are left alone."""
+    for df in frames:
+        if path := getattr(df, "_kept_at", None):
+            _remove(df.sparkSession, path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
