@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gatelake.llm.common import shared_table
+from gatelake.llm.common import partitions, shared_table
 from gatelake.llm.shingles import shingle_sets
 from gatelake.plans.components import connected_components
 
@@ -30,6 +30,8 @@ PERMUTATIONS = 64
 BANDS, ROWS = 25, 5
 #: Classes of a family that one task settles, and the blocks of larger ones.
 SMALL, LEFT, RIGHT = 400, 128, 1024
+#: A family with more than 1 / (SPREAD * partitions) of all members is kept out of shuffles by family.
+SPREAD = 4
 
 _rng = np.random.default_rng(64128)
 _MULTIPLY = _rng.integers(1, 1 << 63, size=PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -166,7 +168,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Shingles are of ``width`` words; two documents are linked if 100 * shared shingles >= percent * all their shingles,
     and component_id is the smallest identifier that links reach. A null or empty text has no shingles and is linked
     with nothing; a text with fewer words has one shingle. Rows that repeat an identifier give repeated results. Rows
-    with a null identifier are alone in their component, which is null, and kept. An empty table gives an empty result.
+    with a null identifier are alone in their component, which is null, and kept. Texts are read whole, however long; other
+    columns, also of clashing names, are not read. An empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     signed = shared_table(_signed(rows, width), "near_signed")
@@ -176,13 +179,21 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     ends = buckets.groupBy("band", "key").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a < last")
     stars = buckets.join(ends, ["band", "key"]).where("node > a").select("a", F.col("node").alias("b")).distinct()
     families = connected_components(stars, lambda df: shared_table(df, "near_families")).withColumnRenamed("component", "family")
+    # At most SPREAD * partitions families hold more than 1 / (SPREAD * partitions) of the members; they are broadcast, so no
+    # shuffle by family moves them. Every other family is small enough for one task's share.
+    count = shared_table(families.groupBy("family").agg(F.count(F.lit(1)).alias("n")), "near_sizes")
+    total = count.agg(F.sum("n")).head()[0] or 0
+    limit = max(SMALL, total // (SPREAD * partitions(docs.sparkSession)))
+    hot = F.broadcast(count.where(F.col("n") > limit).select("family"))
     found = rows.where("doc_id is not null").join(families, rows["doc_id"] == families["node"]).select("node", "family", "text")
     members = shared_table(_with_sets(found, width).dropDuplicates(["node"]), "near_members")
-    count = members.groupBy("family").agg(F.count(F.lit(1)).alias("n"))
-    sized = members.join(count, "family")
+    sized = members.join(hot, "family", "left_anti").join(count.where(F.col("n") <= limit), "family")
     few = sized.where(F.col("n") <= SMALL).select("family", "node", "shingles").groupBy("family").applyInArrow(lambda t: _settle(t, percent), "a long, b long")
-    many = shared_table(sized.where(F.col("n") > SMALL).select("node", "family", "shingles"), "near_many")
-    links = few if many.isEmpty() else few.union(_large_links(many, percent))
+    if count.where(F.col("n") > SMALL).isEmpty():
+        links = few
+    else:
+        several = sized.where(F.col("n") > SMALL).select("node", "family", "shingles")
+        links = few.union(_large_links(shared_table(several.union(members.join(hot, "family", "left_semi").select(*several.columns)), "near_many"), percent))
     joined = connected_components(links, lambda df: shared_table(df, "near_links"))
     named = classes.select("digest", "node").join(joined, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     out = signed.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
