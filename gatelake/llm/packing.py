@@ -10,11 +10,13 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
+import warnings
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import regex
 import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,8 +28,9 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 SEPARATOR = 0
 #: The added token of byte_bpe_50k.json, after its ranks; matched in any text, as its tokeniser does by default.
 MARKER = "<|endoftext|>"
-#: Ranks of one length are counted in so many parts, so that no task orders all pieces of a frequent length.
-PARTS = 64
+#: Ranks of one length are counted in parts, so that no task orders all pieces of a frequent length: one for each PER_PART
+#: pieces, and at least PARTS.
+PARTS, PER_PART = 64, 1 << 17
 #: The simplex method stops within this share of the lower bound, or after so many columns.
 GAP = 5e-4
 MAX_COLUMNS = 1500
@@ -46,23 +49,37 @@ def encoder(ranks: bytes) -> tiktoken.Encoding:
     return _encoders[key]
 
 
+def token_ids(coder: tiktoken.Encoding, text: str) -> list[int]:
+    """The ids of a whole text. Runs of white space too long for the encoder's own splitter are split here, by the same pattern."""
+    try:
+        return coder.encode(text, allowed_special={MARKER})
+    except ValueError:
+        out = []
+        for k, part in enumerate(text.split(MARKER)):
+            out += [coder.encode_single_token(MARKER)] if k else []
+            for m in regex.finditer(PATTERN, part):
+                out += coder._encode_single_piece(m[0])
+        return out
+
+
 def tokenize_pieces(docs: DataFrame, vocabulary: str, *, size: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of at most ``size`` token ids (little-endian unsigned 32-bit), each document's ids followed by id 0.
 
     ``vocabulary`` is a file of byte-level BPE ranks that the driver reads. A null text counts as empty and gives the
-    one id 0. Repeated rows give repeated pieces.
+    one id 0. Texts are encoded whole, however long. Repeated rows give repeated pieces, other columns (also of clashing
+    names) are not read, an empty table gives an empty result.
     """
     with open(vocabulary, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary's size, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = partial(encoder(shared.value).encode, allowed_special={MARKER})
+        coder = encoder(shared.value)
         for batch in batches:
             for first in range(0, batch.num_rows, 512):
                 ids, starts, lengths, totals, blobs = [], [], [], [], []
                 part = batch.slice(first, 512)
                 for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    raw = np.array([*encode(text or ""), SEPARATOR], dtype="<u4").tobytes()
+                    raw = np.array([*token_ids(coder, text or ""), SEPARATOR], dtype="<u4").tobytes()
                     n = len(raw) // 4
                     for a in range(0, n, size):
                         ids.append(doc_id)
@@ -102,11 +119,14 @@ def generate(lengths: np.ndarray, demand: np.ndarray, size: int) -> tuple[np.nda
     basis = np.diag(size // lengths).astype(float)  # columns are patterns
     inverse = np.diag(1.0 / np.diag(basis))
     x = inverse @ demand
-    for _ in range(MAX_COLUMNS if m else 0):
+    for k in range(MAX_COLUMNS + 1 if m else 0):
         duals = inverse.sum(axis=0)
         worth, pattern = price(duals, lengths, size)
         if worth <= 1 + 1e-9 or 1 / worth >= 1 - GAP:  # the objective divided by ``worth`` bounds the optimum from below
             break
+        if k == MAX_COLUMNS:
+            warnings.warn(f"column generation stopped after {MAX_COLUMNS} columns, at most {worth - 1:.2%} above the optimum", stacklevel=2)
+            break
         d = inverse @ pattern
         ratio = np.full(m, np.inf)
         np.divide(x, d, out=ratio, where=d > 1e-9)
@@ -170,36 +190,37 @@ def plan(counts: dict[int, int], size: int) -> np.ndarray:
 def pack_pieces(pieces: DataFrame, *, size: int = 1024, unit: int = UNIT) -> DataFrame:
     """``pieces`` with sequence_id and offset: no two overlap, offsets in a sequence run from 0 without gaps.
 
-    The program sees lengths rounded up to multiples of ``unit``. The driver gets one count for each of these and part
-    (``size`` / ``unit`` times ``PARTS`` at most) and sends back the plan. Pieces are ranked by doc_id, start and
+    The program sees lengths rounded up to multiples of ``unit``. The driver gets one count for each of these (``size`` /
+    ``unit`` at most) and sends back the plan, whose size depends on ``size`` only. Pieces are ranked by doc_id, start and
     ids_crc32; equal rows may change places. Empty input gives an empty result.
     """
     if size % unit:
         raise ValueError(f"size {size} is not a multiple of unit {unit}")
-    rows = pieces.withColumns({"units": F.ceil(F.col("length") / unit).cast("long"), "part": F.pmod(F.xxhash64("doc_id", "start"), F.lit(PARTS)).cast("int")})
-    counted = np.zeros((size // unit + 1, PARTS), dtype=np.int64)
-    for r in rows.groupBy("units", "part").count().collect():
-        counted[r["units"], r["part"]] = r["count"]
-    table = plan({x: int(n) for x, n in enumerate(counted.sum(axis=1)) if n}, size // unit)
-    before = np.cumsum(counted, axis=1) - counted
-    shared = pieces.sparkSession.sparkContext.broadcast((table, before))
+    parts = max(PARTS, math.ceil(pieces.count() / PER_PART))
+    rows = pieces.withColumns({"units": F.ceil(F.col("length") / unit).cast("long"), "part": F.pmod(F.xxhash64("doc_id", "start"), F.lit(parts)).cast("int")})
+    counted = shared_table(rows.groupBy("units", "part").agg(F.count(F.lit(1)).alias("n")), "piece_counts")
+    totals = {r["units"]: r["n"] for r in counted.groupBy("units").agg(F.sum("n").alias("n")).collect()}
+    shared = pieces.sparkSession.sparkContext.broadcast(plan(totals, size // unit))
+    earlier = Window.partitionBy("units").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = counted.select("units", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     names = pieces.columns
-    rank = F.row_number().over(Window.partitionBy("units", "part").orderBy("doc_id", "start", "ids_crc32")) - 1
+    own = F.row_number().over(Window.partitionBy("units", "part").orderBy("doc_id", "start", "ids_crc32")) - 1
+    # Both sides are dealt by (units, part) already, so the join moves no piece again.
+    ranked = rows.withColumn("rank", own.cast("long")).join(before, ["units", "part"]).withColumn("rank", F.col("rank") + F.col("before"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, first = shared.value
+        rows = shared.value
         keys = rows[:, 0] << 44 | rows[:, 1]
         for batch in batches:
             get = lambda c: batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False)
-            units = get("units")
-            r = get("rank") + first[units, get("part")]
+            units, r = get("units"), get("rank")
             own = rows[np.searchsorted(keys, units << 44 | r, side="right") - 1] if len(units) else rows[:0]
             k = r - own[:, 1]
             arrays = [batch.column(batch.schema.get_field_index(c)) for c in names]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(own[:, 3] + k // own[:, 4]), pa.array(own[:, 5] + k % own[:, 4])], names=[*names, "sequence_id", "slot"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    placed = rows.withColumn("rank", rank.cast("long")).mapInArrow(place, f"{kinds}, sequence_id long, slot long")
+    placed = ranked.mapInArrow(place, f"{kinds}, sequence_id long, slot long")
     ahead = Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     return placed.withColumn("offset", F.coalesce(F.sum("length").over(ahead), F.lit(0))).drop("slot")
 
@@ -207,7 +228,8 @@ def pack_pieces(pieces: DataFrame, *, size: int = 1024, unit: int = UNIT) -> Dat
 def pack_documents(docs: DataFrame, vocabulary: str, *, size: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, start, length, doc_tokens, ids_crc32, sequence_id and offset of each piece.
 
-    The ids are hashed where they are made and not shuffled; ``sequences`` joins them again.
+    The ids are hashed where they are made and not shuffled; ``sequences`` joins them again. Null and empty texts are one
+    piece of id 0; repeated rows are packed as often as they stand; an empty table gives an empty result.
     """
     made = tokenize_pieces(docs, vocabulary, size=size, id_col=id_col, text_col=text_col)
     return pack_pieces(shared_table(made.select("doc_id", "start", "length", "doc_tokens", F.crc32("ids").alias("ids_crc32")), "pieces"), size=size)

@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gatelake.llm import exact_dedup, html_text, license_scan
+from gatelake.llm import exact_dedup, html_text, license_scan, packing
+from gatelake.llm.op_packing import vocabulary
 
 
 def distance(a, b):
@@ -149,3 +150,18 @@ def test_exact_deals_out_only_texts_with_many_rows(spark):
     runs, dealt, names = exact_dedup._sorted_runs(df, "doc_id", "text", "none", "min", [])
     sizes = runs.where(F.col(names["place"]) == 1).groupBy(names["body"]).agg(F.count(F.lit(1)).alias("runs"), F.max(names["run_size"]).alias("most")).collect()
     assert dealt and all((r["runs"] > 1) == (r[0] == "hot") for r in sizes) and max(r["most"] for r in sizes) < 300
+
+
+def test_token_ids_like_tokenizers_on_random_and_long_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    with open(vocabulary(), "rb") as f:
+        coder = packing.encoder(f.read())
+    rng = random.Random(5)
+    parts = [packing.MARKER, "<|endof", "text|>", " ", "  ", "\n", "\t", "\u00a0", "\u3000", "a", "The", " the", "é", "日本", "😀", "'s", "'S", "1", "²", "_", "$%", "\x00", "\u200d", "ﬁ"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 25))) for _ in range(4000)]
+    assert [packing.token_ids(coder, t) for t in texts] == [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+    for text in ("x" + " " * 1_000_000 + "y", packing.MARKER + "\n " * 600_000 + packing.MARKER, "ab" * 300_000):
+        assert packing.token_ids(coder, text) == plain.encode(text, add_special_tokens=False).ids
