@@ -6,7 +6,6 @@ the weights by logistic loss on feature differences; the decision is a threshold
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gatelake.llm.common import unit_hash
+from gatelake.llm.shingles import SPACE, mix, span_hashes, text_chunks, word_spans
 
 #: At most about this many labelled rows, drawn by a hash of their identifier, are used for training.
 MAX_TRAIN_ROWS = 20_000
@@ -28,43 +28,94 @@ FEATURES = (
     "repeat_next", "distinct_share", "distinct_500", "top_word", "repeat_lines", "worst_line_symbols", "worst_line_upper", "worst_line_repeat", "bad_lines", "short_words", "words_a_line", "empty",
 )
 
-_CLASS = np.zeros(256, dtype=np.int64)
-for _c in range(256):
-    _CLASS[_c] = 1 if 65 <= _c < 91 else 2 if 48 <= _c < 58 else 3 if chr(_c) in ".,;:!?'\"()-" else 4 if _c in (9, 10, 13, 32) else 5 if 33 <= _c < 127 and not chr(_c).isalnum() else 0
-SYMBOLS = str.maketrans("", "", "%&$#*|<>{}[]\\^~=_@+/`")
-
-
-def text_features(text: str) -> list[float]:
-    """One number per name in FEATURES; all zero but ``empty`` for a text without words."""
-    words = text.split()
-    n = len(words)
-    if not n:
-        return [0.0] * (len(FEATURES) - 1) + [1.0]
-    raw = text.encode("utf-8", "replace")
-    kinds = np.bincount(_CLASS[np.frombuffer(raw, dtype=np.uint8)], minlength=6)
-    solid = max(1, len(raw) - int(kinds[4]))
-    uppers = sum(1 for w in words if len(w) > 1 and w.isupper())
-    bare = [w.translate(SYMBOLS) for w in words]
-    symbol = sum(1 for w, b in zip(words, bare) if w != b)
-    same = sum(1 for a, b in zip(words, words[1:]) if a == b)
-    counts = Counter(words)
-    head = words[:500]
-    lines = [x for x in text.split("\n") if x.strip()]
-    line_symbols = line_upper = line_repeat = bad = 0.0
-    for x in lines:
-        own = x.split()
-        m = len(own)
-        s = sum(1 for w in own if w[-1] in "%&$#*|<>{}[]\\^~=_@+/`") / m
-        u = sum(1 for w in own if len(w) > 1 and w.isupper()) / m
-        r = sum(1 for a, b in zip(own, own[1:]) if a == b) / m
-        bad += (s > 0.3 or u > 0.5 or r > 0.3) * m
-        if m >= 8:
-            line_symbols, line_upper, line_repeat = max(line_symbols, s), max(line_upper, u), max(line_repeat, r)
-    return [
-        np.log1p(n), sum(map(len, words)) / n, sum(1 for w in words if len(w) > 12) / n, kinds[5] / solid, symbol / n, sum(1 for w in words if w.endswith("!")) / n, counts.get("|", 0) / n,
-        uppers / n, kinds[2] / solid, kinds[3] / solid, same / n, len(counts) / n, len(set(head)) / len(head), max(counts.values()) / n, 1 - len(set(lines)) / max(1, len(lines)),
-        line_symbols, line_upper, line_repeat, bad / n, sum(1 for w in words if len(w) <= 3) / n, min(100.0, n / max(1, len(lines))) / 100, 0.0,
-    ]
+def _bytes(chars: str) -> np.ndarray:
+    out = np.zeros(256, dtype=bool)
+    out[list(chars.encode())] = True
+    return out
+
+
+_UPPER, _LOWER, _DIGIT = (_bytes("".join(map(chr, range(a, b)))) for a, b in ((65, 91), (97, 123), (48, 58)))
+_PUNCT = _bytes(".,;:!?'\"()-")
+_MARK = _bytes("".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())) & ~_PUNCT
+_SYMBOL = _bytes("%&$#*|<>{}[]\\^~=_@+/`")
+
+
+def feature_table(texts: pa.Array) -> np.ndarray:
+    """A row for each text, a column for each name in FEATURES; all zero but ``empty`` for a text without words.
+
+    Texts are read whole, in numpy over the bytes of as many texts as fit a chunk. Words stand between ASCII white space and
+    are compared whatever the case of A-Z; a null text counts as empty.
+    """
+    parts = [_features(raw, bounds) for _, _, raw, bounds in text_chunks(texts)]
+    return np.concatenate(parts) if parts else np.zeros((0, len(FEATURES)))
+
+
+def _features(raw: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    n = len(bounds) - 1
+    starts, ends, first = word_spans(raw, bounds)
+    count = np.diff(first)
+    out = np.zeros((n, len(FEATURES)))
+    out[:, -1] = count == 0
+    if not len(starts):
+        return out
+    summed = lambda mask: np.concatenate(([0], np.cumsum(mask)))
+    within = lambda c: c[ends] - c[starts]
+    text = np.repeat(np.arange(n), count)
+    by_text = lambda values: np.bincount(text, weights=values, minlength=n)
+    chars = within(summed((raw & 0xC0) != 0x80))
+    last, some = raw[ends - 1], np.maximum(count, 1)
+    upper = (chars > 1) & (within(summed(_UPPER[raw])) > 0) & (within(summed(_LOWER[raw])) == 0)
+    hashes = span_hashes(raw, starts, ends)
+    # Lines: runs of words with no line end between them.
+    ahead = summed(raw == 10)[starts]
+    new = np.ones(len(starts), dtype=bool)
+    new[1:] = (ahead[1:] != ahead[:-1]) | (text[1:] != text[:-1])
+    again = np.zeros(len(starts), dtype=bool)
+    again[1:] = (hashes[1:] == hashes[:-1]) & (text[1:] == text[:-1])
+    line_at = np.flatnonzero(new)
+    line = np.cumsum(new) - 1
+    of, words = text[line_at], np.diff(np.append(line_at, len(starts)))
+    share = lambda mask: np.add.reduceat(mask.astype(np.float64), line_at) / words
+    symbols, uppers, repeats = share(_SYMBOL[last]), share(upper), share(again & ~new)
+    lines = np.maximum(np.bincount(of, minlength=n), 1)
+    place = (np.arange(len(starts)) - line_at[line]).astype(np.uint64)
+    whole = np.add.reduceat(mix(hashes + place * np.uint64(0x9E3779B97F4A7C15)), line_at)
+    worst = lambda values: _most(of, np.where(words >= 8, values, 0.0), n)
+    # Equal words of a text stand together in this order.
+    order = np.lexsort((hashes, text))
+    edge = np.ones(len(order), dtype=bool)
+    edge[1:] = (hashes[order][1:] != hashes[order][:-1]) | (text[order][1:] != text[order][:-1])
+    at = np.flatnonzero(edge)
+    kind, times = text[order][at], np.diff(np.append(at, len(order)))
+    early = np.minimum.reduceat((np.arange(len(starts)) - first[text])[order], at) < 500
+    sizes = [summed(m[raw])[bounds] for m in (_MARK, _DIGIT, _PUNCT)]
+    solid = np.maximum(1, np.diff(bounds) - np.diff(summed(SPACE[raw])[bounds]))
+    got = {
+        "log_words": np.log1p(count), "word_length": by_text(chars) / some, "long_words": by_text(chars > 12) / some, "symbol_share": np.diff(sizes[0]) / solid,
+        "symbol_words": by_text(within(summed(_SYMBOL[raw])) > 0) / some, "bang_words": by_text(last == 33) / some, "pipe_share": by_text((last == 124) & (ends - starts == 1)) / some,
+        "upper_share": by_text(upper) / some, "digit_share": np.diff(sizes[1]) / solid, "punct_share": np.diff(sizes[2]) / solid, "repeat_next": by_text(again) / some,
+        "distinct_share": np.bincount(kind, minlength=n) / some, "distinct_500": np.bincount(kind[early], minlength=n) / np.clip(count, 1, 500), "top_word": _most(kind, times, n) / some,
+        "repeat_lines": 1 - _distinct(of, whole, n) / lines, "worst_line_symbols": worst(symbols), "worst_line_upper": worst(uppers), "worst_line_repeat": worst(repeats),
+        "bad_lines": np.bincount(of, weights=((symbols > 0.3) | (uppers > 0.5) | (repeats > 0.3)) * words, minlength=n) / some, "short_words": by_text(chars <= 3) / some,
+        "words_a_line": np.minimum(100.0, count / lines) / 100,
+    }
+    for k, name in enumerate(FEATURES[:-1]):
+        out[:, k] = np.where(count > 0, got[name], 0.0)
+    return out
+
+
+def _most(group: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    out = np.zeros(n)
+    np.maximum.at(out, group, values)
+    return out
+
+
+def _distinct(group: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    order = np.lexsort((values, group))
+    g, v = group[order], values[order]
+    new = np.ones(len(g), dtype=bool)
+    new[1:] = (g[1:] != g[:-1]) | (v[1:] != v[:-1])
+    return np.bincount(g[new], minlength=n)
 
 
 def with_features(docs: DataFrame, columns: list[str], text_col: str) -> DataFrame:
@@ -73,9 +124,9 @@ def with_features(docs: DataFrame, columns: list[str], text_col: str) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [text_features(t or "") for t in batch.column(batch.num_columns - 1).to_pylist()]
+            x = feature_table(batch.column(batch.num_columns - 1))
             arrays = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(rows, pa.list_(pa.float64()))], names=[*columns, "features"])
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(list(x), pa.list_(pa.float64()))], names=[*columns, "features"])
 
     kinds = ", ".join(f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in columns)
     return kept.mapInArrow(run, f"{kinds}, features array<double>")
@@ -112,7 +163,12 @@ def fit_pairs(x: np.ndarray, good: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = MAX_TRAIN_ROWS) -> tuple:
-    """A model from the labelled rows; of more than ``max_rows`` labelled identifiers a share is drawn by hash."""
+    """A model from the labelled rows; of more than ``max_rows`` labelled identifiers a share is drawn by hash.
+
+    Null labels and identifiers are left out; of several labels of one identifier the mean counts, and a tie is good. A
+    null text is an empty one. Rows that repeat an identifier all count. Without good or without bad rows, as in an empty
+    table, the model scores every text one half. Other columns, also of clashing names, are not read.
+    """
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg((F.avg(label_col) >= 0.5).cast("int").alias("__good"))
     share = max_rows / max(marks.count(), 1)
     marks = marks.where(unit_hash(F.lit("quality"), F.col("__id")) < share)
@@ -132,7 +188,7 @@ def score_documents(docs: DataFrame, model: tuple, *, id_col: str = "doc_id", te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([text_features(t or "") for t in batch.column(1).to_pylist()], dtype=np.float64).reshape(-1, len(FEATURES))
+            x = feature_table(batch.column(1))
             s = np.clip((x - mean) / scale, -8, 8) @ weights
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip((s - threshold) / spread * 4, -50, 50))))], ["doc_id", "score"])
 
@@ -140,13 +196,17 @@ def score_documents(docs: DataFrame, model: tuple, *, id_col: str = "doc_id", te
 
 
 def keep_good(docs: DataFrame, model: tuple, *, text_col: str = "text", at_least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that score ``at_least``, with all their columns; nothing is shuffled."""
+    """The rows of ``docs`` that score ``at_least``, with all their columns; nothing is shuffled.
+
+    Null and empty texts are scored as empty ones; equal texts, so repeated rows, get equal scores; an empty table stays
+    empty. Columns are passed on by place, so their names do not matter.
+    """
     mean, scale, weights, threshold, spread = model
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([text_features(t or "") for t in batch.column(at).to_pylist()], dtype=np.float64).reshape(-1, len(FEATURES))
+            x = feature_table(batch.column(at))
             s = np.clip((x - mean) / scale, -8, 8) @ weights
             yield batch.filter(pa.array(1 / (1 + np.exp(-np.clip((s - threshold) / spread * 4, -50, 50))) >= at_least))
 

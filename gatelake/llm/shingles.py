@@ -38,12 +38,11 @@ def _powers(base: int, n: int) -> np.ndarray:
 _UP, _DOWN = _powers(_R, CHUNK), _powers(_R_INVERSE, CHUNK)
 
 
-def word_hashes(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words in ``raw`` and, for each text between two ``bounds``, the number of its first word."""
+def word_spans(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words in ``raw`` and, for each text between two ``bounds``, the number of its first word."""
     n = len(raw)
     if not n:
-        return np.zeros(0, dtype=np.uint64), np.zeros(len(bounds), dtype=np.int64)
-    up, down = (_UP, _DOWN) if n <= CHUNK else (_powers(_R, n), _powers(_R_INVERSE, n))
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(len(bounds), dtype=np.int64)
     solid = ~SPACE[raw]
     before = np.empty(n, dtype=bool)
     before[0] = False
@@ -55,29 +54,47 @@ def word_hashes(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     after[:-1] = solid[1:]
     inner = bounds[1:-1]
     after[inner[(inner > 0)] - 1] = False
-    ends = np.flatnonzero(solid & ~after) + 1
+    return starts, np.flatnonzero(solid & ~after) + 1, np.searchsorted(starts, bounds)
+
+
+def word_hashes(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words in ``raw`` and, for each text between two ``bounds``, the number of its first word."""
+    starts, ends, first = word_spans(raw, bounds)
+    return span_hashes(raw, starts, ends), first
+
+
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    n = len(raw)
+    if not n:
+        return np.zeros(0, dtype=np.uint64)
+    up, down = (_UP, _DOWN) if n <= CHUNK else (_powers(_R, n), _powers(_R_INVERSE, n))
     sums = np.empty(n + 1, dtype=np.uint64)
     sums[0] = 0
     np.cumsum(_T[raw] * up[:n], dtype=np.uint64, out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * down[starts])
-    return hashes, np.searchsorted(starts, bounds)
-
+    return mix((sums[ends] - sums[starts]) * down[starts])
 
-def shingle_sets(texts: pa.Array, width: int):
-    """For each text, in order, the sorted distinct 64-bit hashes of its ``width``-word shingles.
 
-    A text with fewer words has one shingle of all of them; one without words, or null, has none.
-    """
+def text_chunks(texts: pa.Array):
+    """Texts (string or binary) in order, as many together as CHUNK bytes hold and one at least: their first and last row, bytes and bounds."""
     texts = texts.cast(pa.large_binary()) if not pa.types.is_large_binary(texts.type) else texts
     offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = texts.buffers()[2]
     raw = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, dtype=np.uint8)
-    valid = texts.is_valid().to_numpy(zero_copy_only=False)
     i = 0
     while i < len(texts):
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + CHUNK, side="right")) - 1)
-        bounds = offsets[i : j + 1] - offsets[i]
-        words, first = word_hashes(raw[offsets[i] : offsets[j]], bounds)
+        yield i, j, raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+        i = j
+
+
+def shingle_sets(texts: pa.Array, width: int):
+    """For each text, in order, the sorted distinct 64-bit hashes of its ``width``-word shingles.
+
+    A text with fewer words has one shingle of all of them; one without words, or null, has none.
+    """
+    valid = texts.is_valid().to_numpy(zero_copy_only=False)
+    for i, j, raw, bounds in text_chunks(texts):
+        words, first = word_hashes(raw, bounds)
         if len(words) >= width:
             h = words[: len(words) - width + 1] * _A[0]
             for k in range(1, width):
@@ -94,4 +111,3 @@ def shingle_sets(texts: pa.Array, width: int):
                 yield mix(np.array([own], dtype=np.uint64))
             else:
                 yield np.unique(h[a : b - width + 1])
-        i = j

@@ -5,10 +5,11 @@ import random
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from gatelake.llm import exact_dedup, html_text, license_scan, packing
+from gatelake.llm import exact_dedup, fingerprint, html_text, license_scan, packing, quality
 from gatelake.llm.op_packing import vocabulary
 
 
@@ -165,3 +166,89 @@ def test_token_ids_like_tokenizers_on_random_and_long_texts():
     assert [packing.token_ids(coder, t) for t in texts] == [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
     for text in ("x" + " " * 1_000_000 + "y", packing.MARKER + "\n " * 600_000 + packing.MARKER, "ab" * 300_000):
         assert packing.token_ids(coder, text) == plain.encode(text, add_special_tokens=False).ids
+
+
+def test_fingerprints_like_sets_of_terms(spark):
+    import duckdb
+
+    texts = dict(duckdb.sql("SELECT doc_id, coalesce(text, '') FROM '/root/testdata/sf0.001/documents.parquet'").fetchall())
+    texts |= {10**12 + 1: "", 10**12 + 2: "same text", 10**12 + 3: "same  TEXT same", 2**60: "only once here", 2**60 + 1: ""}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r for r in fingerprint.fingerprint_documents(df).collect()}
+    terms = lambda t: frozenset(t.encode().lower().split())
+    ids = sorted(texts)
+    count = {}
+    for i in ids:
+        for w in terms(texts[i]):
+            count[w] = count.get(w, 0) + 1
+    low, high = (max(fingerprint.MIN_DOCS, b * len(ids)) for b in fingerprint.BAND)
+    known = {w for w, n in count.items() if low <= n <= high}
+    number = {w: int(fingerprint.distinct_terms(np.frombuffer(w, dtype=np.uint8), np.array([0, len(w)]))[1][0]) for w in count}
+    inside = {w: [((h ^ (h >> 31)) * int(d) % (1 << 64)) >> int(s) == 0 for d, s in zip(fingerprint._DRAW, fingerprint._SHIFT)] for w, h in number.items()}
+
+    def subsets(text):
+        mine = terms(text) & known or terms(text)
+        return [frozenset(w for w in mine if inside[w][k]) for k in range(len(fingerprint._DRAW))] + [mine]
+
+    def near(a, b):
+        if a == b:
+            return 1.0
+        start, best = 0, 0.0
+        for _, n in fingerprint.LEVELS:
+            pairs = [(x, y) for x, y in zip(a[start : start + n], b[start : start + n]) if x or y]
+            best = max([best] + [sum(x == y for x, y in pairs) / max(1, len(pairs))] * (len(pairs) >= 4))
+            start += n
+        return best
+
+    seen = {}
+    for k, i in enumerate(ids):
+        text, following = texts[i], texts[ids[(k + 1) % len(ids)]]
+        half = len(text) // 2
+        edited = text[: len(text) - half] + following[:half]
+        for w in terms(edited) - inside.keys():
+            h = int(fingerprint.distinct_terms(np.frombuffer(w, dtype=np.uint8), np.array([0, len(w)]))[1][0])
+            inside[w] = [((h ^ (h >> 31)) * int(d) % (1 << 64)) >> int(s) == 0 for d, s in zip(fingerprint._DRAW, fingerprint._SHIFT)]
+        own, changed, its = subsets(text), subsets(edited), subsets(following)
+        assert (got[i]["n_chars"], got[i]["edited"]) == (len(text), edited)
+        assert got[i]["near_edited"] == pytest.approx(near(own, changed)) and got[i]["near_next"] == pytest.approx(near(own, its))
+        for parts, sets in ((got[i]["fingerprint"], own), (got[i]["edited_fingerprint"], changed)):
+            for n, (part, of) in enumerate(zip(np.frombuffer(parts, dtype=">u4").tolist(), sets)):
+                assert (part == 0) == (not of and n < len(sets) - 1)
+                assert seen.setdefault((n, of), part) == part
+    assert len({(n, p) for (n, _), p in seen.items() if p}) == sum(1 for p in seen.values() if p)
+
+
+def plain_features(text):
+    words = text.split()
+    if not words:
+        return [0.0] * (len(quality.FEATURES) - 1) + [1.0]
+    n, raw = len(words), text.encode()
+    low = [w.lower() for w in words]
+    symbols = set("%&$#*|<>{}[]\\^~=_@+/`")
+    is_upper = lambda w: len(w) > 1 and any("A" <= c <= "Z" for c in w) and not any("a" <= c <= "z" for c in w)
+    solid = sum(1 for b in raw if b not in b" \t\n\r\x0b\x0c")
+    share = lambda test: sum(1 for b in raw if test(chr(b))) / solid
+    mean = lambda test: sum(1 for w in words if test(w)) / n
+    punct = ".,;:!?'\"()-"
+    lines = [x.split() for x in text.split("\n") if x.split()]
+    stats = []
+    for x in lines:
+        m = len(x)
+        stats.append((m, sum(w[-1] in symbols for w in x) / m, sum(map(is_upper, x)) / m, sum(a.lower() == b.lower() for a, b in zip(x, x[1:])) / m))
+    worst = lambda k: max([s[k] for s in stats if s[0] >= 8], default=0.0)
+    return [
+        np.log1p(n), sum(map(len, words)) / n, mean(lambda w: len(w) > 12), share(lambda c: 33 <= ord(c) < 127 and not c.isalnum() and c not in punct), mean(lambda w: bool(symbols & set(w))), mean(lambda w: w[-1] == "!"), mean(lambda w: w == "|"),
+        mean(is_upper), share(lambda c: "0" <= c <= "9"), share(lambda c: c in punct), sum(a == b for a, b in zip(low, low[1:])) / n, len(set(low)) / n, len(set(low[:500])) / min(n, 500), max(map(low.count, set(low))) / n,
+        1 - len({tuple(w.lower() for w in x) for x in lines}) / len(lines), worst(1), worst(2), worst(3), sum(m for m, s, u, r in stats if s > 0.3 or u > 0.5 or r > 0.3) / n, mean(lambda w: len(w) <= 3), min(100.0, n / len(lines)) / 100, 0.0,
+    ]
+
+
+def test_quality_features_like_plain_code(monkeypatch):
+    rng = random.Random(11)
+    parts = ["the", "The", "DATA", "Ünïcödé", "日本語", "a|b", "|", "wow!", "x" * 14, "12.5%", "end.", "(see)", "😀", "\n", "\n\n", "\t", "#"]
+    texts = [None, "", " \n ", "one", "same " * 700, "A B\n" * 40] + [" ".join(rng.choice(parts) for _ in range(rng.randrange(1, 120))) for _ in range(300)]
+    want = [plain_features(t or "") for t in texts]
+    assert np.allclose(quality.feature_table(pa.array(texts)), want)
+    assert np.allclose(quality.feature_table(pa.array(["x", *texts])[1:]), want)
+    monkeypatch.setattr("gatelake.llm.shingles.CHUNK", 64)
+    assert np.allclose(quality.feature_table(pa.array(texts)), want)
