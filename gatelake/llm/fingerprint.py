@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gatelake.llm.common import partitions, shared_table
-from gatelake.llm.shingles import mix, text_chunks, word_hashes
+from gatelake.llm.shingles import CACHED, mix, text_chunks, word_hashes
 
 #: Share of documents that a kept term occurs in, at least and at most; and the fewest documents.
 BAND = (1.0e-4, 0.05)
@@ -62,7 +62,7 @@ def document_counts(docs: DataFrame, text_col: str) -> DataFrame:
         out = lambda terms, n: pa.RecordBatch.from_arrays([pa.array(terms, pa.int64()), pa.array(n, pa.int64())], ["term", "n"])
         for batch in batches:
             rows += batch.num_rows
-            for _, _, raw, bounds in text_chunks(batch.column(0)):
+            for _, _, raw, bounds in text_chunks(batch.column(0), CACHED):
                 held.append(np.unique(distinct_terms(raw, bounds)[1], return_counts=True))
                 size += len(held[-1][0])
                 if size > FLUSH:
@@ -169,7 +169,7 @@ def fingerprint_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     known = docs.sparkSession.sparkContext.broadcast(lexicon(document_counts(docs, text_col), band))  # 8 bytes x MAX_LEXICON at most
 
     def parts(texts: list[str]) -> np.ndarray:
-        got = [fingerprints(raw, bounds, known.value) for _, _, raw, bounds in text_chunks(pa.array([t.encode("utf-8", "replace") for t in texts], pa.large_binary()))]
+        got = [fingerprints(raw, bounds, known.value) for _, _, raw, bounds in text_chunks(pa.array([t.encode("utf-8", "replace") for t in texts], pa.large_binary()), CACHED)]
         return np.concatenate(got) if got else np.zeros((0, len(_DRAW) + 1), dtype=np.uint32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -15,7 +15,7 @@ from gatelake.llm.common import unit_hash
 #: log2 of the number of hashed features; the broadcast matrix has 2**BITS rows and a column per language.
 BITS = 16
 ORDERS = (1, 2, 3)
-#: At most about this many documents, drawn by a hash of their identifier, are counted for training.
+#: At most about this many documents, an equal part for each language, are counted for training.
 MAX_TRAIN_ROWS = 20_000
 #: Additive smoothing of the n-gram counts.
 ALPHA = 0.5
@@ -63,39 +63,38 @@ def _steps(texts: list[str]) -> Iterator[list[int]]:
 def train(docs: DataFrame, *, text_col: str, label_col: str, id_col: str, max_rows: int = MAX_TRAIN_ROWS) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, log prior and log-probability matrix (2**BITS by languages) from labelled rows.
 
-    Rows without text or language are left out. If there are more than ``max_rows``, a share is drawn by a hash of the
-    identifier, so what is counted stays bounded while the input grows.
+    Rows without text or language are left out. Each language may use an equal part of ``max_rows``; of one with more rows a
+    share is drawn by a hash of the identifier, so a rare language is learned whatever the size of the others, and what is
+    counted stays bounded while the input grows. Priors are counted over all rows. Other columns, also of clashing names,
+    are not read; an empty table gives a model without languages.
     """
-    rows = docs.where(F.col(text_col).isNotNull() & F.col(label_col).isNotNull())
-    total = rows.count()
-    rows = rows.where(unit_hash(F.lit("train"), F.col(id_col)) < max_rows / max(total, 1))
+    rows = docs.where(F.col(text_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("lang"))
+    totals = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    shares = [x for lang, n in sorted(totals.items()) for x in (F.lit(lang), F.lit(max_rows / len(totals) / n))]
+    if shares:
+        rows = rows.where(unit_hash(F.lit("train"), F.col("id")) < F.try_element_at(F.create_map(*shares), F.col("lang")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, np.ndarray] = {}
-        n: dict[str, int] = {}
         for batch in batches:
             texts, labels = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for lang in set(labels):
                 own = [t for t, x in zip(texts, labels) if x == lang]
-                n[lang] = n.get(lang, 0) + len(own)
                 for group in _steps(own):
                     ids, _ = feature_ids([own[i] for i in group])
                     seen[lang] = seen.get(lang, 0) + np.bincount(ids[ids >= 0], minlength=1 << BITS)
         for lang, counts in seen.items():
             at = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * (len(at) + 1), pa.string()), pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(counts[at], n[lang]).astype(np.int64))], ["lang", "feature", "n"]
+                [pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(counts[at].astype(np.int64))], ["lang", "feature", "n"]
             )
 
-    counted = rows.select(F.col(text_col).alias("text"), F.col(label_col).alias("lang")).mapInArrow(count, "lang string, feature int, n long")
+    counted = rows.select("text", "lang").mapInArrow(count, "lang string, feature int, n long")
     got = counted.groupBy("lang", "feature").agg(F.sum("n").alias("n")).toArrow()  # languages x 2**BITS rows at most
     langs = sorted(set(got.column("lang").to_pylist()))
-    matrix, prior = np.zeros((1 << BITS, len(langs))), np.zeros(len(langs))
-    at = np.array([langs.index(x) for x in got.column("lang").to_pylist()], dtype=np.int64)
-    feature, n = got.column("feature").to_numpy(), got.column("n").to_numpy()
-    own = feature >= 0
-    matrix[feature[own], at[own]] = n[own]
-    prior[at[~own]] = n[~own]
+    place = {lang: k for k, lang in enumerate(langs)}
+    matrix, prior = np.zeros((1 << BITS, len(langs))), np.array([totals[lang] for lang in langs], dtype=float)
+    matrix[got.column("feature").to_numpy(), [place[x] for x in got.column("lang").to_pylist()]] = got.column("n").to_numpy()
     matrix += ALPHA
     return langs, np.log(np.maximum(prior, 1) / max(prior.sum(), 1)), np.log(matrix / matrix.sum(axis=0)).astype(np.float32)
 

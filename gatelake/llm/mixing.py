@@ -8,6 +8,8 @@ the others make up for it.
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +19,8 @@ from gatelake.llm.common import fresh, shared_table, unit_hash
 DIMENSIONS = ("source", "lang", "topic")
 #: A target share is in proportion to tokens to this power where no shares are given: below 1 flattens.
 POWERS = {"source": 0.5, "lang": 0.7, "topic": 1.0}
-ROUNDS, TOLERANCE = 50, 1e-9
+#: Raking stops when no marginal is further from its target than TOLERANCE, or warns that ROUNDS did not get there.
+ROUNDS, TOLERANCE = 200, 1e-9
 #: Cells that the driver may fit; more are fitted as a table.
 MAX_DRIVER_CELLS = 50_000
 #: Share of the tokens to draw where no budget is given.
@@ -53,7 +56,8 @@ def fit(cells: list[tuple], mass: np.ndarray, targets: dict[str, dict[str, float
             worst = max(worst, float(np.abs(have - want).max()))
             x = x * np.where(have > 0, want / np.where(have > 0, have, 1), 0)[at]
         if worst < TOLERANCE:
-            break
+            return x
+    warnings.warn(f"marginals are still {worst:.2e} from their targets after {ROUNDS} rounds; they may contradict each other", stacklevel=2)
     return x
 
 
@@ -87,7 +91,8 @@ def _fit_table(cells: DataFrame, targets: dict[str, dict[str, float]] | None) ->
             step = have.select(name, F.when(F.col("have") > 0, F.col("want") / scale / F.col("have")).otherwise(0.0).alias("step"))
             x = shared_table(x.join(step, name).withColumn("fitted", F.col("fitted") * F.col("step")).drop("step"), "mix_cells")
         if worst < TOLERANCE:
-            break
+            return x
+    warnings.warn(f"marginals are still {worst:.2e} from their targets after {ROUNDS} rounds; they may contradict each other", stacklevel=2)
     return x
 
 
@@ -116,8 +121,10 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", topi
 
     ``targets`` maps a dimension to the shares of its values; a dimension without them gets tempered shares (POWERS).
     ``budget`` is the tokens to draw in expectation; without it, ``share`` of all tokens. Cells whose probability would
-    be above 1 are kept whole, so where they are many the drawn marginals fall short of the targets. Null sources and languages count as empty ones. Rows that repeat an identifier are drawn together; an empty table gives an empty
-    result; a text without tokens has its cell's probability.
+    be above 1 are kept whole, so where they are many the drawn marginals fall short of the targets. Null sources and
+    languages count as empty ones, a null text has no tokens. Rows that repeat an identifier (null ones among them) in a
+    cell are drawn together; an empty table gives an empty result; a text without tokens has its cell's probability. Columns
+    of clashing names are passed on unread.
     """
     text = F.col(f"`{text_col}`")
     info = F.struct(*[F.coalesce(F.col(d).cast("string"), F.lit("")).alias(d) for d in ("source", "lang")], (surface_topic(text) if topic is None else topic).alias("topic"), token_estimate(text).alias("n_tokens"))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gatelake.llm.common import unit_hash
-from gatelake.llm.shingles import SPACE, mix, span_hashes, text_chunks, word_spans
+from gatelake.llm.shingles import CACHED, SPACE, mix, span_hashes, text_chunks, word_spans
 
 #: At most about this many labelled rows, drawn by a hash of their identifier, are used for training.
 MAX_TRAIN_ROWS = 20_000
@@ -37,6 +37,9 @@ def _bytes(chars: str) -> np.ndarray:
 _UPPER, _LOWER, _DIGIT = (_bytes("".join(map(chr, range(a, b)))) for a, b in ((65, 91), (97, 123), (48, 58)))
 _PUNCT = _bytes(".,;:!?'\"()-")
 _MARK = _bytes("".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())) & ~_PUNCT
+#: Bytes that begin a character that is no white space.
+_CHAR = ~SPACE & ((np.arange(256) & 0xC0) != 0x80)
+_LINE = _bytes("\n")
 _SYMBOL = _bytes("%&$#*|<>{}[]\\^~=_@+/`")
 
 
@@ -46,7 +49,7 @@ def feature_table(texts: pa.Array) -> np.ndarray:
     Texts are read whole, in numpy over the bytes of as many texts as fit a chunk. Words stand between ASCII white space and
     are compared whatever the case of A-Z; a null text counts as empty.
     """
-    parts = [_features(raw, bounds) for _, _, raw, bounds in text_chunks(texts)]
+    parts = [_features(raw, bounds) for _, _, raw, bounds in text_chunks(texts, CACHED)]
     return np.concatenate(parts) if parts else np.zeros((0, len(FEATURES)))
 
 
@@ -58,18 +61,17 @@ def _features(raw: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     out[:, -1] = count == 0
     if not len(starts):
         return out
-    summed = lambda mask: np.concatenate(([0], np.cumsum(mask)))
-    within = lambda c: c[ends] - c[starts]
     text = np.repeat(np.arange(n), count)
     by_text = lambda values: np.bincount(text, weights=values, minlength=n)
-    chars = within(summed((raw & 0xC0) != 0x80))
+    # From the start of a word to the next one's; what is counted is not white space, but for the line ends.
+    within = lambda table: np.add.reduceat(table[raw], starts, dtype=np.int64)
+    chars, marks, upper, symbol = within(_CHAR), within(_MARK), within(_UPPER), within(_SYMBOL)
     last, some = raw[ends - 1], np.maximum(count, 1)
-    upper = (chars > 1) & (within(summed(_UPPER[raw])) > 0) & (within(summed(_LOWER[raw])) == 0)
+    upper = (chars > 1) & (upper > 0) & (within(_LOWER) == 0)
     hashes = span_hashes(raw, starts, ends)
     # Lines: runs of words with no line end between them.
-    ahead = summed(raw == 10)[starts]
     new = np.ones(len(starts), dtype=bool)
-    new[1:] = (ahead[1:] != ahead[:-1]) | (text[1:] != text[:-1])
+    new[1:] = (within(_LINE)[:-1] > 0) | (text[1:] != text[:-1])
     again = np.zeros(len(starts), dtype=bool)
     again[1:] = (hashes[1:] == hashes[:-1]) & (text[1:] == text[:-1])
     line_at = np.flatnonzero(new)
@@ -88,12 +90,11 @@ def _features(raw: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     at = np.flatnonzero(edge)
     kind, times = text[order][at], np.diff(np.append(at, len(order)))
     early = np.minimum.reduceat((np.arange(len(starts)) - first[text])[order], at) < 500
-    sizes = [summed(m[raw])[bounds] for m in (_MARK, _DIGIT, _PUNCT)]
-    solid = np.maximum(1, np.diff(bounds) - np.diff(summed(SPACE[raw])[bounds]))
+    solid = np.maximum(1, by_text(ends - starts))
     got = {
-        "log_words": np.log1p(count), "word_length": by_text(chars) / some, "long_words": by_text(chars > 12) / some, "symbol_share": np.diff(sizes[0]) / solid,
-        "symbol_words": by_text(within(summed(_SYMBOL[raw])) > 0) / some, "bang_words": by_text(last == 33) / some, "pipe_share": by_text((last == 124) & (ends - starts == 1)) / some,
-        "upper_share": by_text(upper) / some, "digit_share": np.diff(sizes[1]) / solid, "punct_share": np.diff(sizes[2]) / solid, "repeat_next": by_text(again) / some,
+        "log_words": np.log1p(count), "word_length": by_text(chars) / some, "long_words": by_text(chars > 12) / some, "symbol_share": by_text(marks) / solid,
+        "symbol_words": by_text(symbol > 0) / some, "bang_words": by_text(last == 33) / some, "pipe_share": by_text((last == 124) & (ends - starts == 1)) / some,
+        "upper_share": by_text(upper) / some, "digit_share": by_text(within(_DIGIT)) / solid, "punct_share": by_text(within(_PUNCT)) / solid, "repeat_next": by_text(again) / some,
         "distinct_share": np.bincount(kind, minlength=n) / some, "distinct_500": np.bincount(kind[early], minlength=n) / np.clip(count, 1, 500), "top_word": _most(kind, times, n) / some,
         "repeat_lines": 1 - _distinct(of, whole, n) / lines, "worst_line_symbols": worst(symbols), "worst_line_upper": worst(uppers), "worst_line_repeat": worst(repeats),
         "bad_lines": np.bincount(of, weights=((symbols > 0.3) | (uppers > 0.5) | (repeats > 0.3)) * words, minlength=n) / some, "short_words": by_text(chars <= 3) / some,

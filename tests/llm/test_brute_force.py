@@ -1,12 +1,14 @@
 """Operators against plain code that tries everything."""
 
 import random
-
+import struct
 import time
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from gatelake.llm import exact_dedup, fingerprint, html_text, license_scan, packing, quality
@@ -169,8 +171,6 @@ def test_token_ids_like_tokenizers_on_random_and_long_texts():
 
 
 def test_fingerprints_like_sets_of_terms(spark):
-    import duckdb
-
     texts = dict(duckdb.sql("SELECT doc_id, coalesce(text, '') FROM '/root/testdata/sf0.001/documents.parquet'").fetchall())
     texts |= {10**12 + 1: "", 10**12 + 2: "same text", 10**12 + 3: "same  TEXT same", 2**60: "only once here", 2**60 + 1: ""}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
@@ -250,5 +250,57 @@ def test_quality_features_like_plain_code(monkeypatch):
     want = [plain_features(t or "") for t in texts]
     assert np.allclose(quality.feature_table(pa.array(texts)), want)
     assert np.allclose(quality.feature_table(pa.array(["x", *texts])[1:]), want)
-    monkeypatch.setattr("gatelake.llm.shingles.CHUNK", 64)
+    monkeypatch.setattr(quality, "CACHED", 64)
     assert np.allclose(quality.feature_table(pa.array(texts)), want)
+
+
+def spark_hash(*values):
+    """xxhash64 of int and long columns, as a number in [0, 1)."""
+    h = 42
+    for kind, v in values:
+        h = xxhash.xxh64_intdigest(struct.pack(kind, v), seed=h)
+    return (h >> 11) / float(1 << 53)
+
+
+def test_mixing_recomputed_row_by_row(spark):
+    from gatelake.llm import mixing
+
+    rows = duckdb.sql("SELECT doc_id, text, lang, source FROM '/root/testdata/sf0.001/documents.parquet'").fetchall() + [(10**9, None, None, "s9"), (10**9 + 1, "ab 1", "xx", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r["mix"] for r in mixing.mix(df).collect()}
+
+    def topic(t):
+        return "legal" if "licens" in t.lower() else "records" if any("0" <= c <= "9" for c in t) else "long" if len(t) > 4000 else "prose"
+
+    cell = {i: (s or "", x or "", topic(t or "")) for i, t, x, s in rows}
+    tokens = {i: -(-len((t or "").encode()) // 4) for i, t, _, _ in rows}
+    mass = {}
+    for i, c in cell.items():
+        mass[c] = mass.get(c, 0) + tokens[i]
+    total = sum(mass.values())
+    share = {c: m / total for c, m in mass.items()}
+    want = []
+    for d, power in enumerate((0.5, 0.7, 1.0)):
+        own = {}
+        for c, m in mass.items():
+            own[c[d]] = own.get(c[d], 0) + m
+        scale = sum(v**power for v in own.values())
+        want.append({k: v**power / scale for k, v in own.items()})
+    x = dict(share)
+    for _ in range(400):
+        for d in range(3):
+            have = {}
+            for c, v in x.items():
+                have[c[d]] = have.get(c[d], 0) + v
+            x = {c: v * want[d][c[d]] / have[c[d]] if have[c[d]] else 0.0 for c, v in x.items()}
+    weight = {c: x[c] / share[c] if share[c] else 0.0 for c in mass}
+    low, high = 0.0, 1e9  # the scale by halving
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(min(1.0, weight[c] * mid) * m for c, m in mass.items()) < mixing.SHARE * total else (low, mid)
+    for i, c in cell.items():
+        p = min(1.0, weight[c] * low)
+        assert (got[i]["source"], got[i]["lang"], got[i]["topic"], got[i]["n_tokens"]) == (*c, tokens[i])
+        assert got[i]["weight"] == pytest.approx(weight[c], rel=1e-6) and got[i]["probability"] == pytest.approx(p, rel=1e-6)
+        draw = spark_hash(("<i", 0), ("<q", i))
+        assert abs(draw - p) < 1e-6 or got[i]["selected"] == (draw < p)
