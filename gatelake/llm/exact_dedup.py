@@ -45,14 +45,14 @@ def _sorted_runs(docs: DataFrame, id_col: str, text_col: str, normalise: str, ke
     rows = docs.select(*[F.col(f"`{x}`") for x in carry], F.col(f"`{id_col}`").alias(names["id"]), body.alias(names["body"]))
     # Splitters are sampled on the driver, so they hold the texts' first characters and a hash, not whole texts.
     rows = rows.withColumns({names["head"]: F.substring(c("body"), 1, HEAD), names["rest"]: F.xxhash64(c("body"))})
+    key = [c("head"), c("rest")]
     if dealt:  # at most SPREAD * partitions rows are broadcast
         rows = rows.join(F.broadcast(hot), c("rest") == F.col("__hot"), "left").drop("__hot")
-    else:
-        rows = rows.withColumn(names["salts"], F.lit(None).cast("int"))
-    rows = rows.withColumn(names["salt"], F.when(c("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(c("id")), c("salts"))))
-    rows = rows.repartitionByRange(n, c("head"), c("rest"), c("salt"))
+        rows = rows.withColumn(names["salt"], F.when(c("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(c("id")), c("salts"))))
+        key.append(c("salt"))
     # The range partitioning clusters the window's groups, so the window adds a sort but no exchange.
-    run = Window.partitionBy(c("head"), c("rest"), c("body"), c("salt"))
+    rows = rows.repartitionByRange(n, *key)
+    run = Window.partitionBy(*key, c("body"))
     first = run.orderBy(c("id").asc_nulls_last() if keep == "min" else c("id").desc_nulls_last())
     best = F.min if keep == "min" else F.max
     rows = rows.withColumns({names["place"]: F.row_number().over(first), names["run_keep"]: best(c("id")).over(run), names["run_size"]: F.count(F.lit(1)).over(run)})
@@ -70,7 +70,7 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     runs, dealt, c = _sorted_runs(docs, id_col, text_col, normalise, keep, [])
     sha = F.sha2(F.col(c["body"]), 256)
     out = lambda keep_id, size, kept: [F.col("doc_id"), keep_id.alias("keep_id"), size.alias("group_size"), kept.alias("kept"), F.col("text_sha256")]
-    runs = runs.select(F.col(c["id"]).alias("doc_id"), F.col(c["salts"]).isNotNull().alias("dealt"), F.col(c["place"]).alias("place"), F.col(c["run_keep"]).alias("run_keep"), F.col(c["run_size"]).alias("run_size"), sha.alias("text_sha256"))
+    runs = runs.select(F.col(c["id"]).alias("doc_id"), (F.col(c["salts"]).isNotNull() if dealt else F.lit(False)).alias("dealt"), F.col(c["place"]).alias("place"), F.col(c["run_keep"]).alias("run_keep"), F.col(c["run_size"]).alias("run_size"), sha.alias("text_sha256"))
     if not dealt:
         return runs.select(*out(F.col("run_keep"), F.col("run_size"), F.col("place") == 1))
     runs = shared_table(runs.withColumn("text_sha256", F.unhex("text_sha256")), "exact_runs")
