@@ -26,6 +26,6 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
-    from gatelake.queries import connect, hierarchy, scans, search, sources  # noqa: F401
+    from gatelake.queries import connect, hierarchy, modes, scans, search, sources  # noqa: F401
 
     return dict(QUERIES), dict(ORACLE_SQL)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -100,3 +100,14 @@ def slice_level(a: Column, b: Column, *, allow_base: bool = True) -> Column:
 
     ranges = let(F.struct(bit_range(a).alias("x"), bit_range(b).alias("y")), level)
     return F.when(a.isNull() & b.isNull(), "base").when(a.isNull() | b.isNull(), base).otherwise(ranges)
+
+
+def expand_names(path: Column, env: Mapping[str, Column]) -> Column:
+    """``${NAME}``, ``$(NAME)`` and ``$NAME`` replaced by the names' columns; names that are not there stay."""
+    for name, value in env.items():
+        for form in (f"${{{name}}}", f"$({name})"):
+            path = F.replace(path, F.lit(form), value)
+        # The bare form ends where the name does: split, and put together again.
+        path = F.array_join(F.split(path, r"\$" + name + r"(?![A-Za-z0-9_])", -1), "\u0001")
+        path = F.replace(path, F.lit("\u0001"), value)
+    return path

@@ -55,11 +55,12 @@ class Preprocessed:
     includes: list[tuple[str, str]] = field(default_factory=list)
 
 
-def preprocess(text: str, defines: dict[str, str] | None = None, include: Callable[[str, str], str | None] | None = None, depth: int = 0) -> Preprocessed:
+def preprocess(text: str, defines: dict[str, str] | None = None, include: Callable[[str, str], str | None] | None = None, depth: int = 0, preserve: bool = False) -> Preprocessed:
     """Text of the active branches with object-like macros expanded; directives may stand inside a line.
 
     ``include`` gives the text for a quote character and name; what it doesn't know is left out. A macro whose value
-    starts with a parenthesis is left as it is written. Line ends outside removed includes stay.
+    starts with a parenthesis is left as it is written. Line ends outside removed includes stay. With ``preserve`` the text
+    of all branches stays, and only the directives go.
     """
     out, done = [], Preprocessed("", dict(defines or {}))
     stack: list[list[bool]] = []  # parent active, active, branch taken
@@ -111,10 +112,10 @@ def preprocess(text: str, defines: dict[str, str] | None = None, include: Callab
                 done.includes.append((inc[1], inc[2]))
                 body = include(inc[1], inc[2]) if include and depth < 200 else None
                 if body is not None:
-                    inner = preprocess(body, done.defines, include, depth + 1)
+                    inner = preprocess(body, done.defines, include, depth + 1, preserve)
                     done.defines, done.ops, done.includes = inner.defines, done.ops + inner.ops, done.includes + inner.includes
                     out.append(inner.text)
-        active = all(x[1] for x in stack)
+        active = preserve or all(x[1] for x in stack)
     done.text = "".join(out)
     return done
 

@@ -78,23 +78,33 @@ def fold_binds(bound: DataFrame, reps: DataFrame) -> DataFrame:
     return group.join(first, ["module", "inst", "rep"]).where("expr <> src").select("module", "src", F.col("expr").alias("dst")).distinct()
 
 
-def connected(checks: DataFrame, edges: DataFrame, *, directed: bool = False, max_hops: int = 64) -> DataFrame:
-    """check_id, connected and hops (fewest) of checks with ends a and b. One loop serves all checks, from the side with fewer seeds.
+def connected(checks: DataFrame, edges: DataFrame, *, directed: bool = False, max_hops: int | None = None) -> DataFrame:
+    """check_id, a, b, connected, hops (fewest) and cut of checks with ends a and b. One loop serves all checks.
 
-    Both sides expand, half the hops each at most, and meet on (check_id, net).
+    Without ``max_hops`` the a side expands to its end. With it both sides expand, half the hops each at most, and meet on
+    (check_id, net); ``cut`` says that a check is not connected as far as was looked, and that a side was still going on.
     """
     graph = keep(edges.select("src", "dst").distinct() if directed else both_ways(edges.select("src", "dst")))
-    ahead = expand(checks.select(F.col("check_id").alias("label"), F.col("a").alias("node")), graph, max_hops=(max_hops + 1) // 2)
-    back = graph.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    behind = expand(checks.select(F.col("check_id").alias("label"), F.col("b").alias("node")), back, max_hops=max_hops // 2)
-    met = ahead.join(behind.withColumnRenamed("hop", "other"), ["label", "node"]).groupBy("label").agg(F.min(F.col("hop") + F.col("other")).alias("hops"))
-    return checks.join(met, checks["check_id"] == met["label"], "left").select("check_id", "a", "b", F.col("hops").isNotNull().alias("connected"), "hops")
-
-
-def reaches_scope(checks: DataFrame, edges: DataFrame, *, max_hops: int = 64) -> DataFrame:
+    ends = lambda c: checks.select(F.col("check_id").alias("label"), F.col(c).alias("node"))
+    if max_hops is None:
+        ahead, behind = expand(ends("a"), graph, undirected=not directed), ends("b").distinct().withColumn("other", F.lit(0))
+        going = None
+    else:
+        half, rest = (max_hops + 1) // 2, max_hops // 2
+        ahead = expand(ends("a"), graph, max_hops=half, undirected=not directed)
+        back = graph.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        behind = expand(ends("b"), back, max_hops=rest, undirected=not directed).withColumnRenamed("hop", "other")
+        going = ahead.where(F.col("hop") == half).select("label").union(behind.where(F.col("other") == rest).select("label")).distinct().withColumn("going", F.lit(True))
+    met = ahead.join(behind, ["label", "node"]).groupBy("label").agg(F.min(F.col("hop") + F.col("other")).alias("hops"))
+    got = checks.join(met, checks["check_id"] == met["label"], "left").drop("label")
+    got = got.withColumn("going", F.lit(False)) if going is None else got.join(going.withColumnRenamed("label", "check_id"), "check_id", "left")
+    return got.select("check_id", "a", "b", F.col("hops").isNotNull().alias("connected"), "hops", (F.col("hops").isNull() & F.coalesce("going", F.lit(False))).alias("cut"))
+
+
+def reaches_scope(checks: DataFrame, edges: DataFrame, *, max_hops: int | None = None) -> DataFrame:
     """check_id, connected and hops where b is a scope: any net at or below it will do."""
     graph = keep(both_ways(edges.select("src", "dst")))
-    got = expand(checks.select(F.col("check_id").alias("label"), F.col("a").alias("node")), graph, max_hops=max_hops)
+    got = expand(checks.select(F.col("check_id").alias("label"), F.col("a").alias("node")), graph, max_hops=max_hops, undirected=True)
     hit = got.join(checks.select(F.col("check_id").alias("label"), "b"), "label").where(C.below(F.col("node"), F.col("b"))).groupBy("label").agg(F.min("hop").alias("hops"))
     return checks.join(hit, checks["check_id"] == hit["label"], "left").select("check_id", F.col("hops").isNotNull().alias("connected"), "hops")
 
@@ -114,10 +124,10 @@ def stop_rule(path: Column, *, ignore: Sequence[str] = ()) -> Column:
     return out
 
 
-def cone(seeds: DataFrame, edges: DataFrame, boundaries: DataFrame, *, direction: str = "fanout", max_depth: int = 64, ignore: Sequence[str] = ()) -> DataFrame:
+def cone(seeds: DataFrame, edges: DataFrame, boundaries: DataFrame, *, direction: str = "fanout", max_depth: int | None = None, ignore: Sequence[str] = ()) -> DataFrame:
     """label, node, hop and boundary (its kind, or empty) of a fan-out or fan-in cone.
 
-    ``boundaries`` has node and boundary; these nodes, scopes of ``ignore`` and depth ``max_depth`` end the cone: they are
+    ``boundaries`` has node and boundary; these nodes, scopes of ``ignore`` and depth ``max_depth`` (none if not given) end the cone: they are
     in it and not expanded. Seeds are exempt.
     """
     graph = edges.select("src", "dst") if direction == "fanout" else edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
@@ -128,6 +138,8 @@ def cone(seeds: DataFrame, edges: DataFrame, boundaries: DataFrame, *, direction
     step = lambda front, e: front.join(e, front["node"] == e["src"]).select("label", F.col("dst").alias("node"), e["mark"].alias("boundary"))
     start = seeds.select("label", "node").distinct().withColumn("boundary", F.lit(""))
     got = expand(start, graph, step=step, stop=F.col("boundary") != "", max_hops=max_depth)
+    if max_depth is None:
+        return got.select("label", "node", "hop", "boundary")
     more = got.where((F.col("hop") == max_depth) & (F.col("boundary") == "")).select("node").distinct().join(graph.select(F.col("src").alias("node")), "node", "left_semi").withColumn("cut", F.lit(True))
     return got.join(more, "node", "left").select("label", "node", "hop", F.when(F.coalesce("cut", F.lit(False)) & (F.col("hop") == max_depth), "trace-depth").otherwise(F.col("boundary")).alias("boundary"))
 
@@ -139,7 +151,7 @@ def register_jumps(edges: DataFrame) -> DataFrame:
     return d.join(q, "module").where("src <> dst").select("module", "src", "dst", F.lit("ff-jump").alias("kind"))
 
 
-def instance_trace(instances: DataFrame, ports: DataFrame, edges: DataFrame, boundaries: DataFrame, *, direction: str = "both", max_depth: int = 64, ignore: Sequence[str] = ()) -> DataFrame:
+def instance_trace(instances: DataFrame, ports: DataFrame, edges: DataFrame, boundaries: DataFrame, *, direction: str = "both", max_depth: int | None = None, ignore: Sequence[str] = ()) -> DataFrame:
     """One cone for each declared port of each instance: inputs trace their drivers, outputs their sinks, inouts both."""
     seeds = instances.join(ports, "module").select(F.concat("full_path", F.lit("."), "name").alias("node"), "direction").withColumn("label", F.col("node"))
     out = []
@@ -150,7 +162,7 @@ def instance_trace(instances: DataFrame, ports: DataFrame, edges: DataFrame, bou
     return out[0] if len(out) == 1 else out[0].unionByName(out[1])
 
 
-def waypoint_fanout(sources: DataFrame, peers: DataFrame, edges: DataFrame, waypoints: DataFrame, *, max_hops: int = 64) -> DataFrame:
+def waypoint_fanout(sources: DataFrame, peers: DataFrame, edges: DataFrame, waypoints: DataFrame, *, max_hops: int | None = None) -> DataFrame:
     """label, node, hop, qualified and is_terminator: fan-out whose state knows whether a waypoint was passed.
 
     ``peers`` (label, node) end a way; a check is connected where one of them is reached qualified.
@@ -195,11 +207,11 @@ def _pinned(front: DataFrame, edges: DataFrame) -> DataFrame:
     return moved.where(~F.coalesce(blocked, F.lit(False))).select("label", b.alias("node"), pins.alias("pins"), F.to_json(pins).alias("pins_key"))
 
 
-def meet(a: DataFrame, b: DataFrame, edges: DataFrame, *, max_hops: int = 16, allow_base: bool = True, elements: bool = False) -> DataFrame:
+def meet(a: DataFrame, b: DataFrame, edges: DataFrame, *, max_hops: int | None = None, allow_base: bool = True, elements: bool = False) -> DataFrame:
     """Pairs of seed groups that meet: src, dst, meet (first by hops, then name), hops and connectivity_level.
 
     ``a`` and ``b`` have path, node (the seed's net) and sel (null: all of it). Labels are isolated by seed; the graph is
-    walked undirected from both sides, ``max_hops`` in all. With ``elements``, ``edges`` has kind, a whole seed also
+    walked undirected from both sides, ``max_hops`` in all if given. With ``elements``, ``edges`` has kind, a whole seed also
     starts from its elements, an element seed from its whole net, and element pins hold.
     """
     if elements:
@@ -216,9 +228,9 @@ def meet(a: DataFrame, b: DataFrame, edges: DataFrame, *, max_hops: int = 16, al
         walk = lambda side, hops: expand(seeded(side), graph, step=_pinned, order=("pins_key",), max_hops=hops)
     else:
         graph = keep(both_ways(edges.select("src", "dst")))
-        walk = lambda side, hops: expand(side.select(F.col("path").alias("label"), "node").distinct(), graph, max_hops=hops)
-    half = (max_hops + 1) // 2
-    left, right = walk(a, half), walk(b, max_hops - half)
+        walk = lambda side, hops: expand(side.select(F.col("path").alias("label"), "node").distinct(), graph, max_hops=hops, undirected=True)
+    half = None if max_hops is None else (max_hops + 1) // 2
+    left, right = walk(a, half), walk(b, None if max_hops is None else max_hops - half)
     pin = F.try_element_at("pins", _base(F.col("node"))) if elements else F.lit(None).cast("string")
     pairs = left.select(F.col("label").alias("src"), "node", F.col("hop").alias("h1"), pin.alias("p1")).join(right.select(F.col("label").alias("dst"), "node", F.col("hop").alias("h2"), pin.alias("p2")), "node")
     pairs = pairs.where("p1 is null or p2 is null or p1 = p2")  # a whole net that stands for two elements is no meeting
@@ -242,7 +254,7 @@ def coalesce_seeds(seeds: DataFrame, *, mode: str = "strict_slice") -> DataFrame
     return seeds.groupBy(*key).agg(members.alias("members"), (whole | (sels > 1)).alias("mixed_or_approx"))
 
 
-def evidence(seeds: DataFrame, edges: DataFrame, *, max_hops: int = 16) -> DataFrame:
+def evidence(seeds: DataFrame, edges: DataFrame, *, max_hops: int | None = None) -> DataFrame:
     """label, node, hop and the chain of nodes on the first way found (fewest hops, then by name)."""
     start = seeds.select("label", "node").distinct().withColumn("chain", F.array("node"))
     graph = keep(edges.select("src", "dst").distinct())
@@ -282,7 +294,7 @@ def check_mode(a_kind: Column, b_kind: Column) -> Column:
     return F.when(a & b, "hierarchy-hierarchy").when(a | b, "port-hierarchy").otherwise("port-port")
 
 
-def connect_pairs(checks: DataFrame, edges: DataFrame, *, max_hops: int = 64) -> DataFrame:
+def connect_pairs(checks: DataFrame, edges: DataFrame, *, max_hops: int | None = None) -> DataFrame:
     """check_id, mode and connected of checks with a, b, a_kind and b_kind; each mode has its own search, all checks of a mode share it.
 
     Two instances are connected if they are the same or one is above the other.
@@ -294,3 +306,22 @@ def connect_pairs(checks: DataFrame, edges: DataFrame, *, max_hops: int = 64) ->
     mixed = reaches_scope(mixed, edges, max_hops=max_hops).select("check_id", F.lit("port-hierarchy").alias("mode"), "connected")
     both = moded.where("mode = 'hierarchy-hierarchy'").select("check_id", "mode", (C.below(F.col("a"), F.col("b")) | C.below(F.col("b"), F.col("a"))).alias("connected"))
     return ports.unionByName(mixed).unionByName(both)
+
+
+def elaborated_graph(edges: DataFrame) -> DataFrame:
+    """src, dst (structs of hier, base, sel) and kind of directed edges over nets named ``scope.net[sel]``.
+
+    An element and its whole net are joined both ways by ``array_el`` edges, and a port edge from an element also leads from
+    the whole net. A select that is no number or range falls back to the whole net.
+    """
+    def key(c: str) -> Column:
+        sel = F.regexp_extract(c, r"(\[\d+(?::\d+)?\])$", 1)
+        bare = F.regexp_replace(c, r"\[[^\]]*\]$", "")
+        return F.struct(F.regexp_replace(bare, r"\.?[^.]*$", "").alias("hier"), F.regexp_extract(bare, r"([^.]*)$", 1).alias("base"), sel.alias("sel"))
+
+    whole = lambda k: F.struct(k["hier"].alias("hier"), k["base"].alias("base"), F.lit("").alias("sel"))
+    own = edges.select(key("src").alias("src"), key("dst").alias("dst"), "kind")
+    ends = own.select(F.explode(F.array("src", "dst")).alias("n")).where("n.sel <> ''").distinct()
+    pair = F.explode(F.array(F.struct(F.col("n").alias("src"), whole(F.col("n")).alias("dst")), F.struct(whole(F.col("n")).alias("src"), F.col("n").alias("dst")))).alias("p")
+    short = own.where("kind = 'port' and src.sel <> ''").select(whole(F.col("src")).alias("src"), "dst", "kind")
+    return own.unionByName(ends.select(pair).select("p.src", "p.dst", F.lit("array_el").alias("kind"))).unionByName(short).distinct()

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gatelake.functions import columns as C
-from gatelake.operators.scan import context_key, scan_under
+from gatelake.operators.scan import context_key, scan, scan_under
 from gatelake.plans.store import keep
 
 
@@ -21,7 +23,7 @@ def top_modules(modules: DataFrame, edges: DataFrame) -> DataFrame:
     tops = live.join(edges.select(F.col("child").alias("module")), "module", "left_anti")
     # Both sides are lazy: the candidates only come in where there is no top.
     none = tops.agg(F.count(F.lit(1)).alias("n")).where("n = 0")
-    return tops.union(live.join(F.broadcast(none), F.lit(True)).select("module"))
+    return tops.union(live.join(F.broadcast(none.select(F.lit(1).alias("__on"))), F.lit(1) == F.col("__on")).select("module"))
 
 
 def scope_paths(endpoints: DataFrame, column: str = "path") -> DataFrame:
@@ -29,7 +31,7 @@ def scope_paths(endpoints: DataFrame, column: str = "path") -> DataFrame:
     return endpoints.select(F.explode(C.prefixes(C.strip_selects(F.col(column)))).alias("path")).distinct()
 
 
-def elaborate_parameters(texts: DataFrame, tops: DataFrame, *, max_depth: int = 64) -> DataFrame:
+def elaborate_parameters(texts: DataFrame, tops: DataFrame, *, max_depth: int | None = None) -> DataFrame:
     """Instance tree with parameter contexts: full_path, inst_leaf, module, depth, parent_path, param_ctx and stop_reason.
 
     ``texts`` is ``scan.module_texts``. Each round scans the distinct (module, context) pairs of the frontier once, so a
@@ -39,7 +41,7 @@ def elaborate_parameters(texts: DataFrame, tops: DataFrame, *, max_depth: int =
     empty = F.create_map().cast("map<string,string>")
     front = tops.select("module").distinct().select("module", F.col("module").alias("full_path"), F.col("module").alias("inst_leaf"), F.lit(None).cast("string").alias("parent_path"), empty.alias("ctx"), F.array().cast("array<string>").alias("ancestors"))
     levels = []
-    for depth in range(max_depth + 1):
+    for depth in count() if max_depth is None else range(max_depth + 1):
         front = keep(front.withColumn("ctx_key", context_key(F.col("ctx"))))
         if front.isEmpty():
             break
@@ -167,3 +169,86 @@ def nearest_listing(candidates: DataFrame, anchor: Column) -> DataFrame:
     folder = lambda c: F.regexp_replace(F.regexp_replace(c, "/[^/]*$", ""), "/", ".")
     ranked = candidates.withColumn("distance", C.tree_distance(folder(F.col("path")), folder(anchor)))
     return ranked.withColumn("place", F.row_number().over(Window.partitionBy("module").orderBy("distance", "path")))
+
+
+def on_the_way(rows: DataFrame, modules: DataFrame) -> DataFrame:
+    """The rows (full_path, module, ...) of the instances of ``modules`` and of all that is above them: what a cone has to open."""
+    way = rows.join(modules.select("module"), "module", "left_semi").select(F.explode(C.prefixes(F.col("full_path"))).alias("full_path"))
+    return rows.join(way, "full_path", "left_semi")
+
+
+def with_activation(rows: DataFrame, known: DataFrame, *on: str) -> DataFrame:
+    """``rows`` with the activation of their branch from ``known`` (the columns ``on`` and activation), empty where none is known."""
+    return rows.join(known.select(*on, "activation"), list(on), "left").withColumn("activation", F.coalesce("activation", F.lit("")))
+
+
+def evidence_rows(rows: DataFrame, ends: DataFrame) -> DataFrame:
+    """check_id, side, prefix and module: a row for each known prefix of each side's path; ``ends`` has check_id, side and path."""
+    steps = ends.select("check_id", "side", F.explode(C.prefixes(F.col("path"))).alias("full_path"))
+    return steps.join(rows.select("full_path", "module"), "full_path").select("check_id", "side", F.col("full_path").alias("prefix"), "module")
+
+
+def exist_cached(rows: DataFrame, names: DataFrame, specs: DataFrame) -> DataFrame:
+    """path and ok of specs held against an instance table that is there already: an instance, or a name of the module above.
+
+    Two equi-joins for all specs, however deep.
+    """
+    bare = C.strip_selects(F.col("path"))
+    s = specs.select("path").distinct().withColumns({"full_path": bare, "up": F.regexp_replace(bare, r"\.?[^.]*$", ""), "name": F.regexp_extract(bare, r"([^.]*)$", 1)})
+    own = rows.select("full_path", F.lit(True).alias("there")).distinct()
+    up = rows.select(F.col("full_path").alias("up"), "module").distinct()
+    last = names.select("module", "name", F.lit(True).alias("named")).distinct()
+    got = s.join(own, "full_path", "left").join(up, "up", "left").join(last, ["module", "name"], "left")
+    return got.groupBy("path").agg(F.bool_or(F.coalesce("there", F.lit(False)) | F.coalesce("named", F.lit(False))).alias("ok"))
+
+
+def resolve_child(asked: DataFrame, candidates: DataFrame, *, policy: str = "confident") -> DataFrame:
+    """module, anchor, path and status for each (module, anchor) of ``asked``: the file that a child module is read from.
+
+    ``candidates`` has module and path. One file is taken as it is (``confident``). Of several, the confident policy takes
+    none (``deferred``); the recovery policy takes the one listed nearest to the anchor, then first by path
+    (``recovered``). No file at all is ``missing``.
+    """
+    if policy not in ("confident", "recovery"):
+        raise ValueError(f"policy must be confident or recovery, not {policy}")
+    folder = lambda c: F.regexp_replace(F.regexp_replace(c, "/[^/]*$", ""), "/", ".")
+    each = asked.select("module", "anchor").distinct().join(candidates.select("module", "path").distinct(), "module", "left")
+    near = F.struct(C.tree_distance(folder(F.col("path")), folder(F.col("anchor"))), "path")
+    got = each.groupBy("module", "anchor").agg(F.count("path").alias("n"), F.min_by("path", near).alias("path"))
+    status = F.when(F.col("n") == 0, "missing").when(F.col("n") == 1, "confident").otherwise("recovered" if policy == "recovery" else "deferred")
+    return got.select("module", "anchor", F.when(status != "deferred", F.col("path")).alias("path"), status.alias("status"))
+
+
+def walk_files(sources: DataFrame, declared: DataFrame, specs: DataFrame, *, top: str, policy: str = "recovery") -> tuple[DataFrame, DataFrame]:
+    """(path, ok, hops) of specs, and the (module, path) that were read: only files on the specs' chains are opened.
+
+    ``declared`` is the module index (path, module) of the sources. Each round reads the files of the modules that the walks
+    have come to and that were not read before; all specs share the rounds. The last segment may be a port or net.
+    """
+    s = specs.select("path").distinct().withColumn("parts", C.segments(C.strip_selects(F.col("path"))))
+    s = s.withColumn("parts", F.when(F.get("parts", F.lit(0)) == top, F.slice("parts", 2, F.greatest(F.size("parts") - 1, F.lit(0)))).otherwise(F.col("parts")))
+    front = keep(s.select("path", "parts", F.lit(top).alias("module"), F.lit("").alias("anchor"), F.lit(0).alias("hop")))
+    read, done = None, []
+    for _ in count():
+        if front.isEmpty():
+            break
+        done.append(front.where(F.size("parts") <= F.col("hop")).select("path", F.lit(True).alias("ok"), F.col("hop").alias("hops")))
+        live = front.where(F.size("parts") > F.col("hop")).withColumn("segment", F.get("parts", F.col("hop")))
+        asked = live.select("module", "anchor").distinct()
+        if read is not None:
+            asked = asked.join(read.select("module"), "module", "left_anti")
+        chosen = keep(resolve_child(asked, declared, policy=policy).where("path is not null").groupBy("module").agg(F.min("path").alias("file")))
+        texts = sources.select("path", "text").join(chosen.select(F.col("file").alias("path")).distinct(), "path", "left_semi")
+        found = scan(texts).select("path", "module", F.transform("instances", lambda i: F.struct(i["inst"].alias("inst"), i["child"].alias("child"))).alias("instances"), F.concat(F.transform("ports", lambda p: p["name"]), F.transform("nets", lambda n: n["name"])).alias("names"))
+        own = chosen.join(found.withColumnRenamed("path", "file"), ["module", "file"], "left").dropDuplicates(["module"])
+        read = keep(own if read is None else read.unionByName(own))
+        at = live.drop("anchor").join(read, "module", "left")
+        child = F.get(F.filter(F.coalesce("instances", F.array()), lambda i: i["inst"] == F.col("segment")), F.lit(0))["child"]
+        at = keep(at.withColumn("child", child))
+        leaf = F.coalesce(F.array_contains("names", F.col("segment")), F.lit(False)) & (F.size("parts") == F.col("hop") + 1)
+        done.append(at.where("child is null").select("path", leaf.alias("ok"), (F.col("hop") + leaf.cast("int")).alias("hops")))
+        front = keep(at.where("child is not null").select("path", "parts", F.col("child").alias("module"), F.coalesce("file", F.lit("")).alias("anchor"), (F.col("hop") + 1).alias("hop")))
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out, read.select("module", F.col("file").alias("path"))

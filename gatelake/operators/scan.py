@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gatelake.functions import verilog
+from gatelake.plans.frontier import expand
+from gatelake.plans.store import keep
+from gatelake.sources.rtl import resolve_includes
 
 _STR, _INT = pa.string(), pa.int32()
 _PAIR = lambda a, b: pa.struct([(a, _STR), (b, _STR)])
@@ -34,6 +37,14 @@ def _maps(ports: list[tuple[str, str]]) -> list[dict]:
     return [{"port": p, "expr": e} for p, e in ports]
 
 
+def _read(path: str, m: verilog.Module, *args, **options) -> dict:
+    """The record of a module; one nested too deeply to be read has the kind ``too-deep`` and no contents."""
+    try:
+        return _record(path, m, verilog.Scope(m, *args, **options))
+    except RecursionError:
+        return {"path": path, "module": m.name, "kind": "too-deep", "line": m.line} | {c: [] for c in ("parameters", "ports", "nets", "instances", "edges", "binds")}
+
+
 def _record(path: str, m: verilog.Module, scope: verilog.Scope) -> dict:
     out = scope.out
     return {
@@ -46,23 +57,41 @@ def _record(path: str, m: verilog.Module, scope: verilog.Scope) -> dict:
     }
 
 
-def preprocess(sources: DataFrame, defines: dict[str, str] | None = None) -> DataFrame:
-    """path and text after comment strip, conditional compilation and macro expansion; includes named but not put in, and define ops.
+def preprocess(sources: DataFrame, defines: dict[str, str] | None = None, *, preserve: bool = False) -> DataFrame:
+    """path and text after comment strip, conditional compilation and macro expansion; includes named, and define ops.
 
-    A column ``defines`` (map) on ``sources`` overlays the common ones, file by file.
+    A column ``defines`` (map) on ``sources`` overlays the common ones, file by file; a column ``headers`` (map of include
+    name to text, see ``with_includes``) is what includes are replaced with. ``preserve`` keeps the text of all branches.
     """
-    has = "defines" in sources.columns
+    extra = [c for c in ("defines", "headers") if c in sources.columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
-                p = verilog.preprocess(r["text"] or "", (defines or {}) | dict(r.get("defines") or []))
+                headers = dict(r.get("headers") or [])
+                p = verilog.preprocess(r["text"] or "", (defines or {}) | dict(r.get("defines") or []), lambda _, name: headers.get(name), preserve=preserve)  # noqa: B023
                 rows.append({"path": r["path"], "text": p.text, "ops": [{"op": a, "name": b, "value": c} for a, b, c in p.ops], "includes": [n for _, n in p.includes]})
             kind = pa.schema([("path", _STR), ("text", _STR), ("ops", pa.list_(pa.struct([("op", _STR), ("name", _STR), ("value", _STR)]))), ("includes", pa.list_(_STR))])
             yield pa.RecordBatch.from_pylist(rows, schema=kind)
 
-    return sources.select("path", "text", *(["defines"] if has else [])).mapInArrow(run, "path string, text string, ops array<struct<op:string,name:string,value:string>>, includes array<string>")
+    return sources.select("path", "text", *extra).mapInArrow(run, "path string, text string, ops array<struct<op:string,name:string,value:string>>, includes array<string>")
+
+
+def with_includes(sources: DataFrame, headers: DataFrame, incdirs: Sequence[str]) -> DataFrame:
+    """``sources`` (path, text) with ``headers``: the texts of everything a file includes, through any number of files, by include name.
+
+    ``headers`` has path and text. All files share the rounds of one closure; of equal names the nearest include wins, then
+    the first path.
+    """
+    said = F.explode(F.regexp_extract_all("text", F.lit(r"(?m)`include\s+([\"<][^\">\n]+)[\">]"), F.lit(1)))
+    both = sources.select("path", "text").union(headers.select("path", "text"))
+    uses = both.select(F.col("path").alias("source"), said.alias("s")).select("source", F.substring("s", 2, 1 << 30).alias("name"), F.substring("s", 1, 1).alias("quote")).distinct()
+    found = keep(resolve_includes(uses, headers, incdirs).where("path is not null"))
+    reached = expand(sources.select(F.col("path").alias("label"), F.col("path").alias("node")), keep(found.select(F.col("source").alias("src"), F.col("path").alias("dst")).distinct()))
+    named = reached.join(found, reached["node"] == found["source"]).groupBy("label", "name").agg(F.min_by("path", F.struct("hop", "path")).alias("path"))
+    bodies = named.join(headers.select("path", "text"), "path").groupBy("label").agg(F.map_from_entries(F.collect_list(F.struct("name", "text"))).alias("headers"))
+    return sources.join(bodies.withColumnRenamed("label", "path"), "path", "left")
 
 
 def scan(sources: DataFrame, defines: dict[str, str] | None = None, *, over_approximate: bool = True, fold_constants: bool = True, preprocessed: bool = False) -> DataFrame:
@@ -79,7 +108,7 @@ def scan(sources: DataFrame, defines: dict[str, str] | None = None, *, over_appr
                 text = r["text"] or ""
                 if not preprocessed:
                     text = verilog.preprocess(text, (defines or {}) | dict(r.get("defines") or [])).text
-                rows += [_record(r["path"], m, verilog.Scope(m, over_approximate=over_approximate, fold_constants=fold_constants)) for m in verilog.modules(text)]
+                rows += [_read(r["path"], m, over_approximate=over_approximate, fold_constants=fold_constants) for m in verilog.modules(text)]
             yield pa.RecordBatch.from_pylist(rows, schema=_SCAN)
 
     return sources.select("path", "text", *(["defines"] if has else [])).mapInArrow(run, SCAN)
@@ -109,7 +138,7 @@ def scan_under(contexts: DataFrame, *, over_approximate: bool = True, fold_const
             rows = []
             for r in batch.to_pylist():
                 m = verilog.Module(r["module"], r["kind"], r["body"], r["line"])
-                rows.append(_record(r["path"], m, verilog.Scope(m, dict(r["ctx"] or []), over_approximate=over_approximate, fold_constants=fold_constants)) | {"ctx_key": r["ctx_key"]})
+                rows.append(_read(r["path"], m, dict(r["ctx"] or []), over_approximate=over_approximate, fold_constants=fold_constants) | {"ctx_key": r["ctx_key"]})
             yield pa.RecordBatch.from_pylist(rows, schema=kind)
 
     return contexts.select("module", "kind", "path", "line", "body", "ctx", "ctx_key").mapInArrow(run, SCAN + ", ctx_key string")
@@ -247,3 +276,31 @@ def dependency_edges(sources: DataFrame, defines: dict[str, str] | None = None)
     maps = first.select("path", "module", F.explode("instances").alias("i")).select("path", "module", "i.inst", F.explode("i.ports").alias("m"))
     down = maps.select("path", "module", F.explode(connect_nodes(F.col("m.expr"))).alias("src"), F.concat("inst", F.lit("."), "m.port").alias("dst"), F.lit("port").alias("kind"))
     return own.union(down).distinct()
+
+
+def module_headers(texts: DataFrame) -> DataFrame:
+    """module, header and body: what stands before the first semicolon of a module outside brackets, and after; ``texts`` is ``module_texts``."""
+    kind = pa.schema([("module", _STR), ("header", _STR), ("body", _STR)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for module, line, body in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                header, rest = verilog.Scope._split(verilog.tokens(body, line))
+                rows.append({"module": module, "header": verilog.text_of(header), "body": verilog.text_of(rest)})
+            yield pa.RecordBatch.from_pylist(rows, schema=kind)
+
+    return texts.select("module", "line", "body").mapInArrow(run, "module string, header string, body string")
+
+
+def connect_index(contexts: DataFrame, *, flags: Sequence[tuple[bool, bool]] = ((True, True),)) -> DataFrame:
+    """The connect index of module bodies: module, ctx_key, over_approximate, fold_constants, parameters, ports, nets, port maps and edges.
+
+    One row for each module, parameter context and pair of flags; ``contexts`` is as in ``scan_under``.
+    """
+    parts = [scan_under(contexts, over_approximate=o, fold_constants=f).withColumns({"over_approximate": F.lit(o), "fold_constants": F.lit(f)}) for o, f in flags]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    maps = F.flatten(F.transform("instances", lambda i: F.transform(i["ports"], lambda m: F.struct(i["inst"].alias("inst"), i["child"].alias("child"), m["port"].alias("port"), m["expr"].alias("expr")))))
+    return out.select("module", "ctx_key", "over_approximate", "fold_constants", "parameters", "ports", "nets", maps.alias("port_maps"), "edges")

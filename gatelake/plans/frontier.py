@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,29 +19,33 @@ def expand(
     step: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
     stop: Column | None = None,
     order: tuple[str, ...] = (),
-    max_hops: int = 64,
+    max_hops: int | None = None,
+    undirected: bool = False,
 ) -> DataFrame:
     """Every state reachable from ``seeds`` with ``hop``, the fewest hops; all labels share the rounds.
 
     ``edges`` has src and dst and, by default, leads a state's ``node`` from one to the other; ``step(frontier, edges)``
     gives the next states (columns of ``seeds``) where more is carried. States for which ``stop`` holds are kept and not
     expanded. Among arrivals at one key in the same hop the first by ``order`` is kept, any if it is empty. Seen states
-    leave by an anti join, so cycles end.
+    leave by an anti join, so cycles end; nothing else ends the loop unless ``max_hops`` is given. Where every edge is there
+    in both directions and nothing stops (``undirected``), an arrival can only have been seen in the last two hops, so
+    only these are shuffled for the anti join.
     """
     columns = seeds.columns
     if step is None:
         carried = [c for c in columns if c != "node"]
         step = lambda front, e: front.join(e, front["node"] == e["src"]).select(*[front[c] for c in carried], F.col("dst").alias("node")).select(*columns)
     first = keep(_one_each(seeds, key, order).withColumn("hop", F.lit(0)))
-    seen, front, parts = first, first, 1
-    for hop in range(1, max_hops + 1):
+    seen, front, before, parts = first, first, first, 1
+    for hop in count(1) if max_hops is None else range(1, max_hops + 1):
         live = front if stop is None else front.where(~stop)
         arrived = _one_each(step(live.drop("hop"), edges), key, order)
-        front = keep(arrived.join(seen.select(*key), list(key), "left_anti").select(*columns).withColumn("hop", F.lit(hop)))
+        known = before.unionByName(front) if undirected and stop is None else seen
+        before, front = front, keep(arrived.join(known.select(*key), list(key), "left_anti").select(*columns).withColumn("hop", F.lit(hop)))
         if front.isEmpty():
             break
         seen, parts = seen.unionByName(front), parts + 1
-        if parts % 8 == 0:
+        if parts % 16 == 0:
             seen = keep(seen)
     return seen
 
@@ -52,12 +57,13 @@ def _one_each(df: DataFrame, key: tuple[str, ...], order: tuple[str, ...]) -> Da
     return df.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
 
 
-def elaborate(edges: DataFrame, tops: DataFrame, *, max_depth: int = 64, scope: DataFrame | None = None, stopped: DataFrame | None = None) -> DataFrame:
+def elaborate(edges: DataFrame, tops: DataFrame, *, max_depth: int | None = None, scope: DataFrame | None = None, stopped: DataFrame | None = None) -> DataFrame:
     """Instance tree: full_path, inst_leaf, module, depth, parent_path and stop_reason.
 
     ``edges`` has module, inst and child, ``tops`` has module. All tops are seeds of one loop. A module on its own
     ancestor path is not opened again. ``scope`` (path) keeps only these paths, by a semi join inside the loop;
-    ``stopped`` (module, stop_reason) names modules that are not opened.
+    ``stopped`` (module, stop_reason) names modules that are not opened. The tree is opened to its leaves; with ``max_depth``,
+    what would go on below has the stop_reason ``max-depth``.
     """
     lookup = edges.select(F.col("module").alias("parent"), "inst", F.col("child").alias("module")).dropDuplicates(["parent", "inst"])
 
@@ -74,8 +80,12 @@ def elaborate(edges: DataFrame, tops: DataFrame, *, max_depth: int = 64, scope:
     )
     front = keep(reason(start))
     levels = [front]
-    for depth in range(1, max_depth + 1):
+    for depth in count(1):
         live = front.where("stop_reason = ''")
+        if max_depth is not None and depth > max_depth:
+            cut = live.join(lookup.select(F.col("parent").alias("module")).distinct(), "module", "left_semi").select("full_path", F.lit("max-depth").alias("cut"))
+            levels[-1] = front.join(cut, "full_path", "left").withColumn("stop_reason", F.coalesce("cut", "stop_reason")).select(*front.columns)
+            break
         down = live.select(F.col("module").alias("parent"), F.col("full_path").alias("parent_path"), F.array_append("ancestors", F.col("module")).alias("ancestors"))
         nxt = down.join(lookup, "parent").select(
             "module", F.concat_ws(".", "parent_path", "inst").alias("full_path"), F.col("inst").alias("inst_leaf"), F.lit(depth).alias("depth"), "parent_path", "ancestors"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gatelake.catalog import query
 from gatelake.functions import columns as C
-from gatelake.operators import checks, graph, scan
+from gatelake.operators import checks, graph, hierarchy, scan
 from gatelake.plans.components import connected_components
 from gatelake.plans.frontier import elaborate, expand, until_budget
 from gatelake.plans.store import keep
@@ -139,7 +139,7 @@ SELECT c.check_id, c.a, c.b, min(w.hop) IS NOT NULL AS connected, CAST(min(w.hop
 """)
 def q106_bidirectional(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A check for every event; all expand from both ends in one loop and meet."""
-    return graph.connected(_event_checks(spark, sf_dir), star.event_edges(spark, sf_dir), max_hops=6).withColumn("hops", F.col("hops").cast("int"))
+    return graph.connected(_event_checks(spark, sf_dir), star.event_edges(spark, sf_dir), max_hops=6).withColumn("hops", F.col("hops").cast("int")).drop("cut")
 
 
 @query("SELECT 'o' || o_orderkey AS check_id, c_nationkey = o_orderkey % 25 AS connected, CASE WHEN c_nationkey = o_orderkey % 25 THEN 1 END AS hops FROM orders JOIN customer ON c_custkey = o_custkey")
@@ -244,7 +244,7 @@ def q124b_waypoint_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = star.table(spark, sf_dir, "events")
     src = t.where("event_type = 'signup'").select(F.col("event_id").alias("label"), F.col("event_id").alias("node"), "user_id")
     peers = src.select("label", "user_id").join(t.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("node")), "user_id").select("label", "node")
-    return graph.waypoint_fanout(src.select("label", "node"), keep(peers), star.event_edges(spark, sf_dir), t.where("event_type = 'click'").select(F.col("event_id").alias("node")), max_hops=1 << 30)
+    return graph.waypoint_fanout(src.select("label", "node"), keep(peers), star.event_edges(spark, sf_dir), t.where("event_type = 'click'").select(F.col("event_id").alias("node")))
 
 
 @query(_EVENTS + """, w(label, node, spent, hop) AS (SELECT event_id, event_id, 0, 0 FROM events
@@ -328,8 +328,7 @@ def q130_cone_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows on the way to the seeds, by a semi join on prefixes."""
     rows = star.flat_rows(spark, sf_dir)
     seeds = star.table(spark, sf_dir, "customer").where("c_acctbal > 9000").select(F.concat(F.lit("cus_"), _s("c_custkey")).alias("module"))
-    way = rows.join(seeds, "module", "left_semi").select(F.explode(C.prefixes(F.col("full_path"))).alias("full_path"))
-    return rows.join(way, "full_path", "left_semi").select("full_path")
+    return hierarchy.on_the_way(rows, seeds).select("full_path")
 
 
 @query(_EVENTS + """, w(label, node, chain, hop) AS (SELECT event_id, event_id, CAST(event_id AS VARCHAR), 0 FROM events UNION ALL SELECT w.label, e.dst, w.chain || '>' || e.dst, w.hop + 1 FROM w JOIN event_edges e ON e.src = w.node WHERE w.hop < 4)
@@ -483,7 +482,7 @@ def q133_activation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows with the activation of their branch, empty where none is known."""
     c = star.table(spark, sf_dir, "customer")
     known = c.where("c_nationkey < 20").select("c_custkey", F.when(F.col("c_acctbal") < 0, "inactive").when(F.col("c_acctbal") > 5000, "ifndef POOR").otherwise("active").alias("activation"))
-    return c.select("c_custkey").join(known, "c_custkey", "left").withColumn("activation", F.coalesce("activation", F.lit("")))
+    return hierarchy.with_activation(c.select("c_custkey"), known, "c_custkey")
 
 
 _COMPARE = "SELECT coalesce(e.k, a.k) AS check_id, e.v AS expected, a.v AS actual, CASE WHEN a.k IS NULL THEN 'missing' WHEN e.k IS NULL THEN 'extra' WHEN e.v IS NOT DISTINCT FROM a.v THEN 'equal' ELSE 'differs' END AS state FROM (SELECT c_custkey AS k, c_acctbal > 0 AS v FROM customer WHERE c_nationkey <> 3) e FULL JOIN (SELECT c_custkey AS k, c_acctbal > 1000 AS v FROM customer WHERE c_nationkey <> 7) a ON a.k = e.k"
@@ -516,8 +515,7 @@ def q024_hierarchy_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each resolved prefix of each side of a check."""
     rows = star.flat_rows(spark, sf_dir)
     ends = rows.where("depth = 3").select(F.substring("inst_leaf", 4, 20).try_cast("bigint").alias("check_id"), F.lit("a").alias("side"), F.col("parent_path").alias("path"))
-    steps = ends.select("check_id", "side", F.explode(C.prefixes(F.col("path"))).alias("full_path"))
-    return steps.join(rows.select("full_path", "module"), "full_path").select("check_id", "side", F.col("full_path").alias("prefix"), "module")
+    return hierarchy.evidence_rows(rows, ends)
 
 
 @query(_EVENTS + """, w(label, node, hop) AS (SELECT event_id, event_id, 0 FROM events UNION ALL SELECT w.label, e.dst, w.hop + 1 FROM w JOIN event_edges e ON e.src = w.node WHERE w.hop < 5) SELECT label, count(*) AS nodes, max(hop) AS depth FROM w GROUP BY 1""")

@@ -10,7 +10,7 @@ from gatelake.functions import columns as C
 from gatelake.functions import patterns as P
 from gatelake.operators import hierarchy, scan
 from gatelake.plans.frontier import expand
-from gatelake.plans.store import keep
+from gatelake.plans.store import fresh_path, keep
 from gatelake.sources import filelist, rtl, sinks, star
 from gatelake.sources.config import checks_table, parse
 
@@ -56,19 +56,14 @@ SELECT p_partkey, replace(replace(replace('$ROOT/${KIND}/$(NAME).v', '$ROOT', 'r
 """)
 def q004_env_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Environment names in paths, as a chain of replacements over a column."""
-    path = F.lit("$ROOT/${KIND}/$(NAME).v")
-    for name, value in (("ROOT", F.lit("rtl")), ("KIND", F.lower(F.substring("p_brand", 1, 5))), ("NAME", F.concat(F.lit("p"), F.col("p_partkey").cast("string")))):
-        for form in (f"${{{name}}}", f"$({name})", f"${name}"):
-            path = F.replace(path, F.lit(form), value)
+    path = C.expand_names(F.lit("$ROOT/${KIND}/$(NAME).v"), {"ROOT": F.lit("rtl"), "KIND": F.lower(F.substring("p_brand", 1, 5)), "NAME": F.concat(F.lit("p"), F.col("p_partkey").cast("string"))})
     return star.table(spark, sf_dir, "part").select("p_partkey", path.alias("path"))
 
 
 @query("SELECT 'nat_' || n_nationkey || '.v' AS file, 1 AS modules FROM nation UNION ALL SELECT DISTINCT 'reg_' || n_regionkey || '.v', 1 FROM nation UNION ALL SELECT 'top.v', 1 UNION ALL SELECT 'leaf.v', 1 UNION ALL SELECT DISTINCT 'cell_' || lower(substr(c_mktsegment, 1, 4)) || '.v', 1 FROM customer")
 def q005_read_rtl_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files written, read back whole from their folder, and their modules counted."""
-    from gatelake.plans.store import shared_dir
-
-    root = f"{shared_dir(spark)}/rtl_files"
+    root = fresh_path(spark, "rtl_files")
     text = star.rtl(spark, sf_dir).select("text", F.regexp_extract("path", r"([^/]*)\.v$", 1).alias("name"))
     text.write.mode("overwrite").partitionBy("name").option("lineSep", "\u0003").text(root)
     got = rtl.read_directory(spark, root, pattern="*.txt")
@@ -128,9 +123,7 @@ def q011_file_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT 'p' || p_partkey AS name, 'f' || (p_partkey % 50) AS file_id FROM part")
 def q012_index_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The essential index written and read again."""
-    from gatelake.plans.store import shared_dir
-
-    root = f"{shared_dir(spark)}/index"
+    root = fresh_path(spark, "index")
     part = star.table(spark, sf_dir, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("name"), F.concat(F.lit("f"), (F.col("p_partkey") % 50).cast("string")).alias("file_id"))
     sinks.write_index({"modules": part}, root)
     return sinks.read_index(spark, root, ("modules",))["modules"]
@@ -139,9 +132,7 @@ def q012_index_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT c_custkey, c_name FROM customer")
 def q013_json_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON index with a fingerprint, written and read again; rows of another fingerprint do not come back."""
-    from gatelake.plans.store import shared_dir
-
-    path = f"{shared_dir(spark)}/json_index"
+    path = fresh_path(spark, "json_index")
     sinks.write_json(star.table(spark, sf_dir, "customer").select("c_custkey", "c_name"), path, "v1")
     schema = "c_custkey bigint, c_name string"
     return sinks.read_json(spark, path, schema, "v1").union(sinks.read_json(spark, path, schema, "v2"))

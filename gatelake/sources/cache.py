@@ -31,3 +31,24 @@ def load_or_build(spark: SparkSession, name: str, key: str, build: Callable[[],
         return spark.read.parquet(path), True
     build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path), False
+
+
+#: Tiers of a walk cache, the most trusted first.
+TIERS = ("validated", "preprocessed", "regex")
+
+
+def put_tier(df: DataFrame, name: str, key: str, tier: str) -> None:
+    """Keep ``df`` as one tier of the walk cache under a content key; a tier that is there is replaced."""
+    if tier not in TIERS:
+        raise ValueError(f"tier must be one of {TIERS}, not {tier}")
+    df.write.mode("overwrite").parquet(f"{shared_dir(df.sparkSession)}/cache/{name}/{key}/tier={tier}")
+
+
+def best_tier(spark: SparkSession, name: str, key: str, *, least: str = "regex") -> tuple[DataFrame | None, str | None]:
+    """The rows of the most trusted tier that is there, down to ``least``, with its name; none if the key is not known."""
+    for tier in TIERS[: TIERS.index(least) + 1]:
+        path = f"{shared_dir(spark)}/cache/{name}/{key}/tier={tier}"
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+            return spark.read.parquet(path), tier
+    return None, None

@@ -60,3 +60,15 @@ def dot(edges: DataFrame, *, max_nodes: int = 500) -> DataFrame:
     shown = edges.join(F.broadcast(nodes.withColumnRenamed("n", "src")), "src", "left_semi").join(F.broadcast(nodes.withColumnRenamed("n", "dst")), "dst", "left_semi")
     lines = F.array_sort(F.collect_list(F.format_string('  "%s" -> "%s";', "src", "dst")))
     return shown.agg(F.concat(F.lit("digraph cone {\n"), F.array_join(lines, "\n"), F.lit("\n}\n")).alias("dot"))
+
+
+def upsert(old: DataFrame, new: DataFrame, key: str = "check_id") -> DataFrame:
+    """Hand-over rows by key: those of ``new``, and those of ``old`` whose key ``new`` does not have."""
+    return new.unionByName(old.join(new.select(key), key, "left_anti").select(*new.columns))
+
+
+def with_summary(df: DataFrame, columns: list[str], *, kind: str = "summary") -> DataFrame:
+    """A report with one more row, whose first column is ``kind`` and whose second is the number of rows."""
+    rows = report(df, columns)
+    total = rows.agg(F.count(F.lit(1)).alias("n"))
+    return rows.unionByName(total.select(F.lit(kind).alias(columns[0]), F.col("n").cast("string").alias(columns[1]), *[F.lit("").alias(c) for c in columns[2:]]))

@@ -35,7 +35,7 @@ UNION ALL SELECT 'cus_' || o_custkey, 'u_o' || o_orderkey, 'ord_' || o_orderkey
 """
 
 
-def flat_rows(spark: SparkSession, sf_dir: str, *, orders: bool = False) -> DataFrame:
+def flat_rows(spark: SparkSession, sf_dir: str, *, orders: bool = True) -> DataFrame:
     """full_path, inst_leaf, module, depth, parent_path and file of the module tree, by plain joins."""
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
@@ -62,7 +62,7 @@ tree(full_path, inst_leaf, module, depth, parent_path) AS (
   UNION ALL
   SELECT t.full_path || '.' || e.inst, e.inst, e.child, t.depth + 1, t.full_path FROM tree t JOIN module_edges e ON e.module = t.module
 ),
-flat_rows AS (SELECT full_path, inst_leaf, module, depth, parent_path FROM tree WHERE depth <= 3)
+flat_rows AS (SELECT full_path, inst_leaf, module, depth, parent_path FROM tree)
 """
 
 

@@ -94,3 +94,38 @@ def test_net_edges_of_expressions(spark):
 def test_row_search_without_dots_is_a_substring(spark):
     rows = frame(spark, [("t", "t", "top"), ("t.u_Niu0", "u_Niu0", "x")], "full_path string, inst_leaf string, module string")
     assert search.search(rows, "niu").select(F.col("full_path")).collect()[0][0] == "t.u_Niu0"
+
+
+def test_nothing_is_cut_in_silence(spark):
+    edges = spark.createDataFrame([(f"m{k}", "u", f"m{k + 1}") for k in range(81)], "module string, inst string, child string")
+    top = spark.createDataFrame([("m0",)], "module string")
+    from gatelake.operators import scan
+    from gatelake.plans.frontier import elaborate
+
+    whole = elaborate(edges, top)
+    assert whole.count() == 82 and whole.where("stop_reason <> ''").count() == 0
+    short = {r["depth"]: r["stop_reason"] for r in elaborate(edges, top, max_depth=3).collect()}
+    assert short == {0: "", 1: "", 2: "", 3: "max-depth"}
+    deep = "module d; always_comb " + "begin " * 4000 + "y = a; " + "end " * 4000 + "endmodule\nmodule e; assign y = a; endmodule"
+    got = {r["module"]: r["kind"] for r in scan.scan(spark.createDataFrame([("p", deep)], "path string, text string")).collect()}
+    assert got == {"d": "too-deep", "e": "module"}
+
+
+def test_connected_says_where_it_was_cut(spark):
+    from gatelake.operators import graph
+
+    edges = spark.createDataFrame([(k, k + 1) for k in range(12)], "src long, dst long")
+    checks = spark.createDataFrame([(1, 0, 3), (2, 0, 9), (3, 0, 99)], "check_id long, a long, b long")
+    got = {r["check_id"]: (r["connected"], r["hops"], r["cut"]) for r in graph.connected(checks, edges, max_hops=4).collect()}
+    assert got[1] == (True, 3, False) and got[2] == (False, None, True) and got[3][0] is False
+    whole = {r["check_id"]: (r["connected"], r["hops"], r["cut"]) for r in graph.connected(checks, edges).collect()}
+    assert whole == {1: (True, 3, False), 2: (True, 9, False), 3: (False, None, False)}
+
+
+def test_names_are_replaced_where_they_end(spark):
+    from pyspark.sql import functions as F
+
+    from gatelake.functions import columns as C
+
+    df = spark.createDataFrame([("$A/$AB/${A}/$(A)$A",)], "p string")
+    assert df.select(C.expand_names(F.col("p"), {"A": F.lit("x$y")})).head()[0] == "x$y/$AB/x$y/x$yx$y"
