@@ -194,7 +194,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     else:
         several = sized.where(F.col("n") > SMALL).select("node", "family", "shingles")
         links = few.union(_large_links(shared_table(several.union(members.join(hot, "family", "left_semi").select(*several.columns)), "near_many"), percent))
-    joined = connected_components(links, lambda df: shared_table(df, "near_links"))
+    # Links are made in Python tasks and connected in others, so no task holds workers of both.
+    joined = connected_components(shared_table(links, "near_pairs"), lambda df: shared_table(df, "near_links"))
     named = classes.select("digest", "node").join(joined, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     out = signed.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))

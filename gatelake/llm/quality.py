@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gatelake.llm.common import unit_hash
-from gatelake.llm.shingles import CACHED, SPACE, mix, span_hashes, text_chunks, word_spans
+from gatelake.llm.shingles import CHUNK, SPACE, mix, span_hashes, text_chunks, word_spans
 
 #: At most about this many labelled rows, drawn by a hash of their identifier, are used for training.
 MAX_TRAIN_ROWS = 20_000
@@ -49,7 +49,7 @@ def feature_table(texts: pa.Array) -> np.ndarray:
     Texts are read whole, in numpy over the bytes of as many texts as fit a chunk. Words stand between ASCII white space and
     are compared whatever the case of A-Z; a null text counts as empty.
     """
-    parts = [_features(raw, bounds) for _, _, raw, bounds in text_chunks(texts, CACHED)]
+    parts = [_features(raw, bounds) for _, _, raw, bounds in text_chunks(texts, CHUNK)]
     return np.concatenate(parts) if parts else np.zeros((0, len(FEATURES)))
 
 

@@ -18,8 +18,8 @@ _rng = np.random.default_rng(20240229)
 _T = _rng.integers(1, 1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _T[65:91] = _T[97:123]
 _A = [np.uint64(x) for x in (_rng.integers(1, 1 << 63, size=16, dtype=np.uint64) * np.uint64(2) + np.uint64(1))]
-#: Bytes handled together at most, and as many as a processor's cache holds with the arrays made of them.
-CHUNK, CACHED = 1 << 22, 1 << 18
+#: Bytes handled together: as many as a processor's cache holds with the arrays made of them.
+CHUNK = 1 << 18
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -74,15 +74,15 @@ def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix((sums[ends] - sums[starts]) * down[starts])
 
 
-def text_chunks(texts: pa.Array, size: int = CHUNK):
-    """Texts (string or binary) in order, as many together as ``size`` bytes hold and one at least: their first and last row, bytes and bounds."""
+def text_chunks(texts: pa.Array, size: int = 0):
+    """Texts (string or binary) in order, as many together as ``size`` (CHUNK) bytes hold and one at least: their first and last row, bytes and bounds."""
     texts = texts.cast(pa.large_binary()) if not pa.types.is_large_binary(texts.type) else texts
     offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = texts.buffers()[2]
     raw = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, dtype=np.uint8)
     i = 0
     while i < len(texts):
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + size, side="right")) - 1)
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + (size or CHUNK), side="right")) - 1)
         yield i, j, raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         i = j
 
@@ -93,7 +93,7 @@ def shingle_sets(texts: pa.Array, width: int):
     A text with fewer words has one shingle of all of them; one without words, or null, has none.
     """
     valid = texts.is_valid().to_numpy(zero_copy_only=False)
-    for i, j, raw, bounds in text_chunks(texts, CACHED):
+    for i, j, raw, bounds in text_chunks(texts):
         words, first = word_hashes(raw, bounds)
         if len(words) >= width:
             h = words[: len(words) - width + 1] * _A[0]

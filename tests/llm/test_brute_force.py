@@ -250,7 +250,7 @@ def test_quality_features_like_plain_code(monkeypatch):
     want = [plain_features(t or "") for t in texts]
     assert np.allclose(quality.feature_table(pa.array(texts)), want)
     assert np.allclose(quality.feature_table(pa.array(["x", *texts])[1:]), want)
-    monkeypatch.setattr(quality, "CACHED", 64)
+    monkeypatch.setattr(quality, "CHUNK", 64)
     assert np.allclose(quality.feature_table(pa.array(texts)), want)
 
 
