@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gatelake.functions import columns as C
 from gatelake.plans.components import connected_components
-from gatelake.plans.frontier import expand
+from gatelake.plans.frontier import expand, meet_ends
 from gatelake.plans.store import keep
 
 
@@ -81,23 +81,29 @@ def fold_binds(bound: DataFrame, reps: DataFrame) -> DataFrame:
 def connected(checks: DataFrame, edges: DataFrame, *, directed: bool = False, max_hops: int | None = None) -> DataFrame:
     """check_id, a, b, connected, hops (fewest) and cut of checks with ends a and b. One loop serves all checks.
 
-    Without ``max_hops`` the a side expands to its end. With it both sides expand, half the hops each at most, and meet on
-    (check_id, net); ``cut`` says that a check is not connected as far as was looked, and that a side was still going on.
+    Without ``max_hops`` ends in different components (direction aside) are told apart first, by components, and the rest
+    is followed from both ends until they meet or one has nowhere to go on to. With it both sides expand, half the hops each
+    at most, and meet on (check_id, net); ``cut`` says that a check is not connected as far as was looked, and that a side
+    was still going on.
     """
     graph = keep(edges.select("src", "dst").distinct() if directed else both_ways(edges.select("src", "dst")))
-    ends = lambda c: checks.select(F.col("check_id").alias("label"), F.col(c).alias("node"))
     if max_hops is None:
-        ahead, behind = expand(ends("a"), graph, undirected=not directed), ends("b").distinct().withColumn("other", F.lit(0))
-        going = None
-    else:
-        half, rest = (max_hops + 1) // 2, max_hops // 2
-        ahead = expand(ends("a"), graph, max_hops=half, undirected=not directed)
-        back = graph.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-        behind = expand(ends("b"), back, max_hops=rest, undirected=not directed).withColumnRenamed("hop", "other")
-        going = ahead.where(F.col("hop") == half).select("label").union(behind.where(F.col("other") == rest).select("label")).distinct().withColumn("going", F.lit(True))
+        parts = connected_components(graph, keep, a="src", b="dst")
+        placed = checks.select(F.col("check_id").alias("label"), "a", "b")
+        for end in "ab":
+            at = parts.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
+            placed = placed.join(at, end, "left").withColumn(f"of_{end}", F.coalesce(f"of_{end}", end))
+        met = meet_ends(keep(placed.where("of_a = of_b").select("label", "a", "b")), graph, undirected=not directed)
+        got = checks.join(met.withColumnRenamed("label", "check_id"), "check_id", "left")
+        return got.select("check_id", "a", "b", F.col("hops").isNotNull().alias("connected"), "hops", F.lit(False).alias("cut"))
+    ends = lambda c: checks.select(F.col("check_id").alias("label"), F.col(c).alias("node"))
+    half, rest = (max_hops + 1) // 2, max_hops // 2
+    ahead = expand(ends("a"), graph, max_hops=half, undirected=not directed)
+    back = graph.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    behind = expand(ends("b"), back, max_hops=rest, undirected=not directed).withColumnRenamed("hop", "other")
+    going = ahead.where(F.col("hop") == half).select("label").union(behind.where(F.col("other") == rest).select("label")).distinct().withColumn("going", F.lit(True))
     met = ahead.join(behind, ["label", "node"]).groupBy("label").agg(F.min(F.col("hop") + F.col("other")).alias("hops"))
-    got = checks.join(met, checks["check_id"] == met["label"], "left").drop("label")
-    got = got.withColumn("going", F.lit(False)) if going is None else got.join(going.withColumnRenamed("label", "check_id"), "check_id", "left")
+    got = checks.join(met, checks["check_id"] == met["label"], "left").drop("label").join(going.withColumnRenamed("label", "check_id"), "check_id", "left")
     return got.select("check_id", "a", "b", F.col("hops").isNotNull().alias("connected"), "hops", (F.col("hops").isNull() & F.coalesce("going", F.lit(False))).alias("cut"))
 
 

@@ -50,6 +50,43 @@ def expand(
     return seen
 
 
+def meet_ends(checks: DataFrame, graph: DataFrame, *, undirected: bool = False) -> DataFrame:
+    """label and hops (fewest) of the checks (label, a, b) whose b can be reached from a; nothing but ``graph`` ends the search.
+
+    Both ends expand by one hop in each round, in one join: the far end against the edges. A check leaves as soon as its
+    ends meet, which is in round k where they are 2k - 1 or 2k hops apart, or as soon as one end has nowhere to go on to.
+    """
+    sides = graph.select(F.lit(0).alias("side"), "src", "dst").unionByName(graph.select(F.lit(1).alias("side"), F.col("dst").alias("src"), F.col("src").alias("dst")))
+    edges = keep(sides)
+    ends = [checks.select("label", F.lit(k).alias("side"), F.col(c).alias("node")) for k, c in enumerate("ab")]
+    front = keep(ends[0].union(ends[1]).where("node is not null").distinct().withColumn("hop", F.lit(0)))
+    seen, before, parts = front, front, 1
+    done = []
+    for hop in count(1):
+        other = (before.unionByName(front) if parts > 1 else front).where("side = 1").select("label", "node", F.col("hop").alias("other"))
+        met = front.where("side = 0").join(other, ["label", "node"]).groupBy("label").agg(F.min(F.col("hop") + F.col("other")).alias("hops"))
+        done.append(met)
+        if len(done) % 8 == 0:
+            done = [keep(_all(done))]
+        both = front.groupBy("label").agg(F.countDistinct("side").alias("sides")).where("sides = 2").join(met, "label", "left_anti").select("label")
+        going = front.join(both, "label", "left_semi")
+        moved = going.join(edges, (going["node"] == edges["src"]) & (going["side"] == edges["side"])).select("label", going["side"], F.col("dst").alias("node")).distinct()
+        known = before.unionByName(front) if undirected else seen
+        before, front = front, keep(moved.join(known, ["label", "side", "node"], "left_anti").withColumn("hop", F.lit(hop)))
+        if front.isEmpty():
+            return _all(done)
+        seen, parts = seen.unionByName(front), parts + 1
+        if not undirected and parts % 16 == 0:
+            seen = keep(seen)
+
+
+def _all(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
+
+
 def _one_each(df: DataFrame, key: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
     if not order:
         return df.dropDuplicates(list(key))

@@ -133,13 +133,15 @@ def _event_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keep(e.select(F.col("event_id").alias("check_id"), F.col("event_id").alias("a"), F.coalesce("third", F.col("event_id") + 37).alias("b")))
 
 
-@query(_EVENTS + f""", {_CHECKS}, g AS (SELECT src, dst FROM event_edges UNION SELECT dst, src FROM event_edges),
-w(check_id, node, hop) AS (SELECT check_id, a, 0 FROM checks UNION SELECT w.check_id, g.dst, w.hop + 1 FROM w JOIN g ON g.src = w.node WHERE w.hop < 6)
-SELECT c.check_id, c.a, c.b, min(w.hop) IS NOT NULL AS connected, CAST(min(w.hop) AS INTEGER) AS hops FROM checks c LEFT JOIN w ON w.check_id = c.check_id AND w.node = c.b GROUP BY 1, 2, 3
+_PLACES = "p AS (SELECT event_id, user_id, row_number() OVER w AS place, count(*) FILTER (event_type = 'purchase') OVER w AS bought FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))"
+
+
+@query(f"""WITH {_CHECKS}, {_PLACES}
+SELECT c.check_id, c.a, c.b, y.place IS NOT NULL AS connected, CAST(abs(x.place - y.place) AS INTEGER) AS hops FROM checks c JOIN p x ON x.event_id = c.a LEFT JOIN p y ON y.event_id = c.b AND y.user_id = x.user_id
 """)
 def q106_bidirectional(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A check for every event; all expand from both ends in one loop and meet."""
-    return graph.connected(_event_checks(spark, sf_dir), star.event_edges(spark, sf_dir), max_hops=6).withColumn("hops", F.col("hops").cast("int")).drop("cut")
+    """A check for every event; all expand from both ends in one loop until they meet, however far apart."""
+    return graph.connected(_event_checks(spark, sf_dir), star.event_edges(spark, sf_dir)).withColumn("hops", F.col("hops").cast("int")).drop("cut")
 
 
 @query("SELECT 'o' || o_orderkey AS check_id, c_nationkey = o_orderkey % 25 AS connected, CASE WHEN c_nationkey = o_orderkey % 25 THEN 1 END AS hops FROM orders JOIN customer ON c_custkey = o_custkey")
@@ -152,17 +154,16 @@ def q107_to_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.reaches_scope(checks_, edges, max_hops=1).withColumn("hops", F.col("hops").cast("int"))
 
 
-@query(_EVENTS + f""", {_CHECKS}, t AS (SELECT check_id, a, b FROM checks), w(check_id, node, hop) AS (SELECT check_id, a, 0 FROM t UNION ALL SELECT w.check_id, g.dst, w.hop + 1 FROM w JOIN event_edges g ON g.src = w.node WHERE w.hop < 5),
-l(check_id, node, hop) AS (SELECT check_id, a, 0 FROM t UNION ALL SELECT l.check_id, g.dst, l.hop + 1 FROM l JOIN event_edges g ON g.src = l.node AND g.kind <> 'purchase' WHERE l.hop < 5),
-wt AS (SELECT DISTINCT t.check_id FROM t JOIN w ON w.check_id = t.check_id AND w.node = t.b), lt AS (SELECT DISTINCT t.check_id FROM t JOIN l ON l.check_id = t.check_id AND l.node = t.b)
-SELECT t.check_id, wt.check_id IS NOT NULL AS connected_text, CASE WHEN wt.check_id IS NOT NULL THEN lt.check_id IS NOT NULL END AS connected_logical, lt.check_id IS NOT NULL AS connected FROM t LEFT JOIN wt ON wt.check_id = t.check_id LEFT JOIN lt ON lt.check_id = t.check_id
+@query(f"""WITH {_CHECKS}, {_PLACES},
+t AS (SELECT c.check_id, coalesce(y.place >= x.place, false) AS text, coalesce(y.place >= x.place AND y.bought = x.bought, false) AS logical FROM checks c JOIN p x ON x.event_id = c.a LEFT JOIN p y ON y.event_id = c.b AND y.user_id = x.user_id)
+SELECT check_id, text AS connected_text, CASE WHEN text THEN logical END AS connected_logical, logical AS connected FROM t
 """)
 def q114_text_then_logical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A cheap phase first; only what it connects is asked of the second, where registers are barriers."""
     c, e = _event_checks(spark, sf_dir), star.event_edges(spark, sf_dir)
-    text = keep(graph.connected(c, e, directed=True, max_hops=5))
+    text = keep(graph.connected(c, e, directed=True))
     again = c.join(text.where("connected").select("check_id"), "check_id", "left_semi")
-    logical = graph.connected(keep(again), e.where("kind <> 'purchase'"), directed=True, max_hops=5)
+    logical = graph.connected(keep(again), e.where("kind <> 'purchase'"), directed=True)
     return checks.text_then_logical(text, logical)
 
 
@@ -221,25 +222,12 @@ def q123_instance_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.instance_trace(inst, ports, edges, bounds)
 
 
-@query(_EVENTS + """, wp AS (SELECT event_id FROM events WHERE event_type = 'click'), s AS (SELECT event_id, user_id FROM events WHERE event_type = 'signup'), peers AS (SELECT s.event_id AS label, t.event_id AS node FROM s JOIN events t ON t.user_id = s.user_id AND t.event_type = 'purchase'),
-w(label, node, qualified, ended, hop) AS (SELECT event_id, event_id, false, false, 0 FROM s
-  UNION ALL SELECT w.label, e.dst, w.qualified OR e.dst IN (SELECT event_id FROM wp), e.dst IN (SELECT node FROM peers), w.hop + 1 FROM w JOIN event_edges e ON e.src = w.node WHERE NOT w.ended AND w.hop < 10)
-SELECT label, node, qualified, ended AS is_terminator, CAST(hop AS INTEGER) AS hop FROM w
-""")
-def q124_waypoint_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fan-out of every signup that remembers whether a click was passed, up to the user's purchases."""
-    t = star.table(spark, sf_dir, "events")
-    src = t.where("event_type = 'signup'").select(F.col("event_id").alias("label"), F.col("event_id").alias("node"), "user_id")
-    peers = src.select("label", "user_id").join(t.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("node")), "user_id").select("label", "node")
-    return graph.waypoint_fanout(src.select("label", "node"), keep(peers), star.event_edges(spark, sf_dir), t.where("event_type = 'click'").select(F.col("event_id").alias("node")), max_hops=10)
-
-
 @query(_EVENTS + """, wp AS (SELECT event_id FROM events WHERE event_type = 'click'), s AS (SELECT event_id, user_id FROM events WHERE event_type = 'signup'), peers AS (SELECT s.event_id AS label, t.event_id AS node FROM s JOIN events t ON t.user_id = s.user_id AND t.event_type = 'purchase'),
 w(label, node, qualified, ended, hop) AS (SELECT event_id, event_id, false, false, 0 FROM s
   UNION ALL SELECT w.label, e.dst, w.qualified OR e.dst IN (SELECT event_id FROM wp), e.dst IN (SELECT node FROM peers), w.hop + 1 FROM w JOIN event_edges e ON e.src = w.node WHERE NOT w.ended)
 SELECT label, node, qualified, ended AS is_terminator, CAST(hop AS INTEGER) AS hop FROM w
 """)
-def q124b_waypoint_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q124_waypoint_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fan-out of every signup that remembers whether a click was passed, up to the user's purchases, however far."""
     t = star.table(spark, sf_dir, "events")
     src = t.where("event_type = 'signup'").select(F.col("event_id").alias("label"), F.col("event_id").alias("node"), "user_id")
@@ -247,21 +235,11 @@ def q124b_waypoint_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.waypoint_fanout(src.select("label", "node"), keep(peers), star.event_edges(spark, sf_dir), t.where("event_type = 'click'").select(F.col("event_id").alias("node")))
 
 
-@query(_EVENTS + """, w(label, node, spent, hop) AS (SELECT event_id, event_id, 0, 0 FROM events
-  UNION ALL SELECT w.label, e.dst, w.spent + CASE WHEN e.kind = 'purchase' THEN 1 ELSE 0 END, w.hop + 1 FROM w JOIN event_edges e ON e.src = w.node WHERE w.hop < 8 AND w.spent + CASE WHEN e.kind = 'purchase' THEN 1 ELSE 0 END <= 1)
-SELECT label, node, CAST(hop AS INTEGER) AS hop, CAST(spent AS INTEGER) AS spent, CASE WHEN spent >= 1 THEN 'satisfied' WHEN hop >= 8 THEN 'truncated' WHEN node NOT IN (SELECT src FROM event_edges) THEN 'exhausted' ELSE 'internal' END AS status FROM w
-""")
-def q125_until_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A cone for every event that ends after one register edge; what costs nothing is still taken at the budget."""
-    seeds = star.table(spark, sf_dir, "events").select(F.col("event_id").alias("label"), F.col("event_id").alias("node"))
-    return until_budget(seeds, star.event_edges(spark, sf_dir), kind="purchase", limit=1, max_hops=8)
-
-
 @query(_EVENTS + """, w(label, node, spent, hop) AS (SELECT event_id, event_id, 0, 0 FROM events
   UNION ALL SELECT w.label, e.dst, w.spent + CASE WHEN e.kind = 'purchase' THEN 1 ELSE 0 END, w.hop + 1 FROM w JOIN event_edges e ON e.src = w.node WHERE w.hop < 64 AND w.spent + CASE WHEN e.kind = 'purchase' THEN 1 ELSE 0 END <= 1)
 SELECT label, node, CAST(hop AS INTEGER) AS hop, CAST(spent AS INTEGER) AS spent, CASE WHEN spent >= 1 THEN 'satisfied' WHEN hop >= 64 THEN 'truncated' WHEN node NOT IN (SELECT src FROM event_edges) THEN 'exhausted' ELSE 'internal' END AS status FROM w
 """)
-def q125c_until_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q125_until_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A cone for every event that ends after one register edge; what costs nothing is still taken at the budget, for 64 hops."""
     seeds = star.table(spark, sf_dir, "events").select(F.col("event_id").alias("label"), F.col("event_id").alias("node"))
     return until_budget(seeds, star.event_edges(spark, sf_dir), kind="purchase", limit=1)
