@@ -170,6 +170,19 @@ def test_token_ids_like_tokenizers_on_random_and_long_texts():
         assert packing.token_ids(coder, text) == plain.encode(text, add_special_tokens=False).ids
 
 
+def test_token_ids_like_tokenizers_on_every_code_point():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    with open(vocabulary(), "rb") as f:
+        coder = packing.encoder(f.read())
+    points = [chr(i) for i in range(0x110000) if not 0xD800 <= i <= 0xDFFF]
+    for first in range(0, len(points), 2000):
+        text = "".join(f"a{c} 1{c}.{c}" for c in points[first : first + 2000])
+        assert packing.token_ids(coder, text) == plain.encode(text, add_special_tokens=False).ids, hex(first)
+
+
 def test_fingerprints_like_sets_of_terms(spark):
     texts = dict(duckdb.sql("SELECT doc_id, coalesce(text, '') FROM '/root/testdata/sf0.001/documents.parquet'").fetchall())
     texts |= {10**12 + 1: "", 10**12 + 2: "same text", 10**12 + 3: "same  TEXT same", 2**60: "only once here", 2**60 + 1: ""}
