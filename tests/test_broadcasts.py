@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from gatelake.operators import graph
 from gatelake.plans import frontier, store
 
-ROWS = 150_000
+ROWS, SHORT = 150_000, 3_000
 
 
 def plan(df):
@@ -36,23 +36,45 @@ def test_scope_search_broadcasts_no_large_table(spark, plans):
     assert got.where("connected").count() == sum(k % 5 == k % 7 for k in range(ROWS)) and got.count() == ROWS
 
 
+@pytest.fixture
+def nothing_is_small(monkeypatch):
+    """Every count is beyond the limit, so that short tables show what is counted."""
+    for module in (frontier, store):
+        monkeypatch.setattr(module, "BROADCAST_ROWS", -1, raising=False)
+
+
 def chain(spark):
     """Events in a row, each third one led to by a purchase, and a seed at every event."""
     k = F.col("id")
-    edges = store.keep(spark.range(ROWS - 1).select(k.alias("src"), (k + 1).alias("dst"), F.when((k + 1) % 3 == 0, "purchase").otherwise("view").alias("kind")))
-    return store.keep(spark.range(ROWS).select(k.alias("label"), k.alias("node"))), edges
+    edges = store.keep(spark.range(SHORT - 1).select(k.alias("src"), (k + 1).alias("dst"), F.when((k + 1) % 3 == 0, "purchase").otherwise("view").alias("kind")))
+    return store.keep(spark.range(SHORT).select(k.alias("label"), k.alias("node"))), edges
 
 
-def test_fanout_cone_broadcasts_no_large_table(spark, plans):
+def test_fanout_cone_broadcasts_no_large_table(spark, plans, nothing_is_small):
     seeds, edges = chain(spark)
-    bounds = store.keep(spark.range(0, 2 * ROWS, 2).select(F.col("id").alias("node"), F.lit("even").alias("boundary")))
+    bounds = store.keep(spark.range(0, 2 * SHORT, 2).select(F.col("id").alias("node"), F.lit("even").alias("boundary")))
     got = graph.cone(seeds, edges, bounds, max_depth=2)
     assert not [p for p in [*plans, plan(got)] if "BroadcastHashJoin" in p]
     want = {"": 0, "even": 0, "trace-depth": 0}
-    for at in range(ROWS):
+    for at in range(SHORT):
         want[""] += 1
-        for hop, node in enumerate(range(at + 1, min(at + 3, ROWS)), 1):
-            want["even" if node % 2 == 0 else "trace-depth" if hop == 2 and node + 1 < ROWS else ""] += 1
+        for hop, node in enumerate(range(at + 1, min(at + 3, SHORT)), 1):
+            want["even" if node % 2 == 0 else "trace-depth" if hop == 2 and node + 1 < SHORT else ""] += 1
             if node % 2 == 0:
                 break
     assert {r["boundary"]: r["count"] for r in got.groupBy("boundary").count().collect()} == {k: n for k, n in want.items() if n}
+
+
+def test_fanin_cone_broadcasts_no_large_table(spark, plans, nothing_is_small):
+    seeds, edges = chain(spark)
+    bounds = store.keep(spark.range(0, SHORT, 3).select(F.col("id").alias("node"), F.lit("third").alias("boundary")))
+    got = graph.cone(seeds, edges, bounds, direction="fanin", max_depth=2)
+    assert not [p for p in [*plans, plan(got)] if "BroadcastHashJoin" in p]
+    want = {"": 0, "third": 0, "trace-depth": 0}
+    for at in range(SHORT):
+        want[""] += 1
+        for hop, node in enumerate(range(at - 1, max(at - 3, -1), -1), 1):
+            want["third" if node % 3 == 0 else "trace-depth" if hop == 2 and node > 0 else ""] += 1
+            if node % 3 == 0:
+                break
+    assert {r["boundary"]: r["count"] for r in got.groupBy("boundary").count().collect()} == {k: n for k, n in want.items() if n}
