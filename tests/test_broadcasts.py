@@ -78,3 +78,9 @@ def test_fanin_cone_broadcasts_no_large_table(spark, plans, nothing_is_small):
             if node % 3 == 0:
                 break
     assert {r["boundary"]: r["count"] for r in got.groupBy("boundary").count().collect()} == {k: n for k, n in want.items() if n}
+
+
+def test_hop_budget_broadcasts_no_large_table(spark, plans, nothing_is_small):
+    got = frontier.until_budget(*chain(spark), kind="hop", limit=2)
+    assert not [p for p in [*plans, plan(got)] if "BroadcastHashJoin" in p]
+    assert {(r["status"], r["spent"]): r["count"] for r in got.groupBy("status", "spent").count().collect()} == {("internal", 0): SHORT - 1, ("internal", 1): SHORT - 2, ("satisfied", 2): SHORT - 2, ("exhausted", 0): 1, ("exhausted", 1): 1}
