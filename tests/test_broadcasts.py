@@ -84,3 +84,18 @@ def test_hop_budget_broadcasts_no_large_table(spark, plans, nothing_is_small):
     got = frontier.until_budget(*chain(spark), kind="hop", limit=2)
     assert not [p for p in [*plans, plan(got)] if "BroadcastHashJoin" in p]
     assert {(r["status"], r["spent"]): r["count"] for r in got.groupBy("status", "spent").count().collect()} == {("internal", 0): SHORT - 1, ("internal", 1): SHORT - 2, ("satisfied", 2): SHORT - 2, ("exhausted", 0): 1, ("exhausted", 1): 1}
+
+
+def test_register_budget_broadcasts_no_large_table(spark, plans, nothing_is_small):
+    got = frontier.until_budget(*chain(spark), kind="purchase", limit=1)
+    assert not [p for p in [*plans, plan(got)] if "BroadcastHashJoin" in p]
+    want = {}
+    for at in range(SHORT):
+        spent = 0
+        for node in range(at, SHORT):
+            spent += node > at and node % 3 == 0
+            if spent > 1:
+                break
+            status = "satisfied" if spent else "internal" if node + 1 < SHORT else "exhausted"
+            want[status, spent] = want.get((status, spent), 0) + 1
+    assert {(r["status"], r["spent"]): r["count"] for r in got.groupBy("status", "spent").count().collect()} == want
